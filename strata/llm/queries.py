@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strata.llm import quality_rules
+from strata.llm import quality_rules, toxicity
 
 QUERIES = {
     "op1_ngram_perplexity": quality_rules.op1,
+    "op6_toxicity": toxicity.op6,
 }
 
 ORACLE = {
     "op1_ngram_perplexity": quality_rules.ORACLE_SQL,
+    "op6_toxicity": toxicity.ORACLE_SQL,
 }
