@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from strata.llm import jaccard_join, packing, quality_rules, toxicity
+from strata.llm import html_extract, jaccard_join, packing, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_ngram_perplexity": quality_rules.op1,
     "op2_packing": packing.op2,
+    "op3_warc_zstd": warc.op3,
+    "op4_html_content": html_extract.op4,
     "op6_toxicity": toxicity.op6,
     "op8_jaccard_join": jaccard_join.op8,
 }
 
 ORACLE = {
     "op1_ngram_perplexity": quality_rules.ORACLE_SQL,
+    "op3_warc_zstd": warc.ORACLE_SQL,
     "op6_toxicity": toxicity.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
 }
