@@ -1,6 +1,310 @@
-"""The library's own queries and the SQL that gives the same rows."""
+"""The library's own queries over the test tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strata import shared
+from strata.functions import bits, codecs
+from strata.functions.checksums import crc16_column
+from strata.operators import chunking, dedup, layout, manifest, stats
+from strata.options import LEVELS, Options, memory_estimate
+from strata.plans import archive
+
+BLOCK = 65536
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _entries(spark: SparkSession, d: str, payload: bool = False) -> DataFrame:
+    """documents as files: source is the folder, doc_id the name, lang the extension."""
+    path = F.concat_ws("", "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("."), "lang")
+    out = manifest.from_table(_read(spark, d, "documents"), path, F.col("text"), doc_id=F.col("doc_id"))
+    return out if payload else out.drop("payload")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return layout.positions(manifest.solid_key(_entries(spark, d)), list(manifest.SOLID))
+
+
+def manifest_global_pos(spark, d):
+    return _placed(spark, d).select("doc_id", "ext", "size", "global_pos")
+
+
+def block_map_solid(spark, d):
+    return layout.solid_blocks(_placed(spark, d), BLOCK).select("block_id", "doc_id", "begin", "length", "at")
+
+
+def block_map_per_file(spark, d):
+    return layout.file_blocks(_placed(spark, d), 4096).select("block_id", "doc_id", "begin", "length")
+
+
+def block_bytes(spark, d):
+    return block_map_solid(spark, d).groupBy("block_id").agg(F.sum("length").alias("n_bytes"), F.count("*").alias("n_files"))
+
+
+def _points(placed):
+    return layout.solid_blocks(placed, BLOCK).select((F.col("block_id") * BLOCK).alias("pos")).distinct()
+
+
+def locate_blocks(spark, d):
+    placed = shared.cut(_placed(spark, d))
+    return layout.locate(placed, _points(placed)).select("pos", F.regexp_extract("path", r"/0*(\d+)\.", 1).cast("long").alias("doc_id"), "offset")
+
+
+def asof_locate(spark, d):
+    placed = shared.cut(_placed(spark, d))
+    return layout.as_of(_points(placed), placed.where("size > 0").select(F.col("global_pos").alias("pos")), BLOCK)
+
+
+def dir_contained_size(spark, d):
+    p = _read(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"[?#].*$", "").alias("path"), F.octet_length("html").cast("long").alias("size"), F.lit("f").alias("type"))
+    return manifest.contained_sizes(p)
+
+
+def byte_histogram(spark, d):
+    return stats.histogram(_read(spark, d, "documents"), "lang", "text")
+
+
+def byte_entropy_by_lang(spark, d):
+    return stats.entropy(byte_histogram(spark, d), ["lang"]).select("lang", "n_bytes", F.round("entropy", 9).alias("entropy"))
+
+
+def _heads(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.substring("text", 1, 4096).alias("text"))
+
+
+def entropy_by_alignment(spark, d):
+    return stats.entropy_by_position(_heads(spark, d), "doc_id", "text").select("doc_id", "k", F.round("entropy", 6).alias("entropy"))
+
+
+def alignment_choice(spark, d):
+    """Position bits of least entropy with the penalties of finer ones, for each document's first 4096 characters."""
+    e = entropy_by_alignment(spark, d)
+    penalty = F.element_at(F.create_map(*(F.lit(x) for x in (1, 0.0, 2, 0.05, 4, 0.10, 8, 0.30, 16, 0.60))), F.col("k"))
+    return e.groupBy("doc_id").agg(F.min(F.struct(F.round(F.col("entropy") + penalty, 6).alias("score"), F.col("k"))).alias("x")).select("doc_id", F.col("x.k").alias("k"), F.col("x.score").alias("score"))
+
+
+def stride_mode(spark, d):
+    return stats.stride_mode(_heads(spark, d), "doc_id", "text")
+
+
+def fixed_chunk_dedup(spark, d):
+    c = chunking.fixed_chunks(_read(spark, d, "documents"), "doc_id", "text", 256).select("doc_id", "pos", F.length("chunk").cast("long").alias("length"), F.sha2("chunk", 256).alias("hash"))
+    c = c.withColumn("id", F.col("doc_id") * (1 << 32) + F.col("pos"))
+    first = dedup.first_occurrence(c, ["hash"], "id")
+    return first.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count(F.when(F.col("original") < F.col("id"), 1)).alias("n_duplicates"), F.coalesce(F.sum(F.when(F.col("original") < F.col("id"), F.col("length"))), F.lit(0)).alias("duplicate_length"))
+
+
+def exact_duplicate_docs(spark, d):
+    c = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return dedup.first_occurrence(c, ["hash"], "doc_id").where("original < doc_id").select("doc_id", F.col("original").alias("original_id"), "hash")
+
+
+def _refs(spark, d):
+    c = chunking.fixed_chunks(_read(spark, d, "documents"), "doc_id", "text", 64).where("length(chunk) = 64").select("doc_id", "pos", F.sha2("chunk", 256).alias("hash"))
+    c = c.withColumn("id", F.col("doc_id") * (1 << 32) + F.col("pos"))
+    return dedup.first_occurrence(c, ["hash"], "id").where("original < id").select("doc_id", F.col("pos").alias("copy_pos"), F.col("original").alias("original_pos"), F.lit(64).cast("long").alias("length"))
+
+
+def dedup_coalesce(spark, d):
+    return dedup.coalesce_references(_refs(spark, d), ["doc_id"])
+
+
+def delta_copy_pos(spark, d):
+    return dedup.delta_positions(dedup_coalesce(spark, d), ["doc_id"]).select("doc_id", "copy_pos", "length", "copy_delta")
+
+
+def delta_copy_pos_roundtrip(spark, d):
+    x = dedup.delta_positions(dedup_coalesce(spark, d), ["doc_id"]).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("copy_pos"))).drop("copy_pos")
+    return dedup.undelta_positions(x, ["doc_id"], "n").select("doc_id", "copy_pos", "length")
+
+
+def cdc_chunks(spark, d):
+    return chunking.content_chunks(_read(spark, d, "documents"), "doc_id", "text").withColumn("hash", F.lower(F.hex("hash")))
+
+
+def cdc_dedup_ratio(spark, d):
+    c = cdc_chunks(spark, d).join(_read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("id", F.col("doc_id") * (1 << 32) + F.col("pos"))
+    big = dedup.first_occurrence(c.where(f"length >= {dedup.LEAST_CHUNK}"), ["hash", "length"], "id")
+    return big.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_bytes"), F.sum(F.when(F.col("original") < F.col("id"), F.col("length")).otherwise(0)).alias("duplicate_bytes"))
+
+
+def cdc_covers(spark, d):
+    """Chunks of every document lie end to end and cover it."""
+    c = cdc_chunks(spark, d).groupBy("doc_id").agg(F.sum("length").alias("n_bytes"), F.max(F.col("pos") + F.col("length")).alias("end_pos"))
+    return c
+
+
+def _events(spark, d):
+    return _read(spark, d, "events").select("user_id", "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ms"))
+
+
+def lpc_order(k):
+    return lambda spark, d: dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "ms", k).select("user_id", "event_id", "delta")
+
+
+def lpc_roundtrip(spark, d):
+    x = dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "ms", 3)
+    return dedup.undifferences(x, ["user_id"], ["event_id"], 3).select("user_id", "event_id", F.col("restored").alias("ms"))
+
+
+def perm_bits(spark, d):
+    return spark.range(512).select(F.col("id").cast("int").alias("mode"), bits.reverse_permissions(F.col("id").cast("int")).alias("permissions"))
+
+
+def leb128_size(spark, d):
+    return _read(spark, d, "lineitem").groupBy(bits.varint_size(F.col("l_partkey")).alias("n_bytes")).agg(F.count("*").alias("n"), F.sum(bits.varint_size(F.col("l_orderkey"))).cast("long").alias("order_bytes"))
+
+
+def path_parts(spark, d):
+    p = manifest.solid_key(_entries(spark, d))
+    return p.select("doc_id", "filename", "ext")
+
+
+def crc32_payload(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"), crc16_column(F.col("text").cast("binary")).alias("crc16"))
+
+
+def sha256_payload(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def _blocks(spark, d):
+    """documents of a source put together in blocks of 256."""
+    t = _read(spark, d, "documents").withColumn("block", F.expr("doc_id div 256"))
+    return t.groupBy("source", "block").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), ""), "UTF-8").alias("data")).withColumn("id", F.col("block") * 1000 + F.regexp_replace("source", "[^0-9]", "").cast("long"))
+
+
+def codec_ratio_by_source(spark, d):
+    b = _blocks(spark, d)
+    e = codecs.encode_column(b, "id", "data", ("delta", "zlib"))
+    return e.groupBy((F.col("id") % 1000).alias("source_no")).agg(F.sum(F.element_at("sizes", 1)).alias("n_bytes"), F.sum(F.element_at("sizes", -1)).alias("stored_bytes"))
+
+
+def codec_roundtrip(spark, d):
+    t = _read(spark, d, "pages")
+    e = codecs.encode_column(t, "page_id", "html", ("delta", "zlib"))
+    return codecs.decode_column(e, "page_id", ("delta", "zlib")).select("page_id", F.decode("data", "UTF-8").alias("html"))
+
+
+def encrypted_roundtrip(spark, d):
+    """Spark's own authenticated encryption of a payload, and back."""
+    t, key = _read(spark, d, "pages"), F.unhex(F.sha2(F.lit("a test key"), 256))
+    e = t.select("page_id", F.aes_encrypt(F.col("html").cast("binary"), key, F.lit("GCM")).alias("sealed"))
+    return e.select("page_id", F.decode(F.aes_decrypt("sealed", key, F.lit("GCM")), "UTF-8").alias("html"))
+
+
+def archive_roundtrip(spark, d):
+    """All documents into an archive in the shared folder, with deduplication and codecs, and back."""
+    path = f"{shared.folder(spark).removeprefix('file:').replace('///', '/', 1)}/{uuid.uuid4().hex}.stra"
+    archive.create_archive(_entries(spark, d, True).drop("doc_id"), path, Options(max_block=1 << 20))
+    f = archive.read_files(spark, path)
+    return f.select(F.regexp_extract("path", r"/0*(\d+)\.", 1).cast("long").alias("doc_id"), F.decode("data", "UTF-8").alias("text"))
+
+
+def memory_estimates(spark, d):
+    rows = [(level, threads, memory_estimate(Options.of_level(level), threads)) for level in LEVELS for threads in (1, 8)]
+    return spark.createDataFrame(rows, "level int, threads int, n_bytes long")
+
+
+QUERIES = {
+    "manifest_global_pos": manifest_global_pos,
+    "block_map_solid": block_map_solid,
+    "block_map_per_file": block_map_per_file,
+    "block_bytes": block_bytes,
+    "locate_blocks": locate_blocks,
+    "asof_locate": asof_locate,
+    "dir_contained_size": dir_contained_size,
+    "byte_histogram": byte_histogram,
+    "byte_entropy_by_lang": byte_entropy_by_lang,
+    "entropy_by_alignment": entropy_by_alignment,
+    "alignment_choice": alignment_choice,
+    "stride_mode": stride_mode,
+    "fixed_chunk_dedup": fixed_chunk_dedup,
+    "exact_duplicate_docs": exact_duplicate_docs,
+    "dedup_coalesce": dedup_coalesce,
+    "delta_copy_pos": delta_copy_pos,
+    "delta_copy_pos_roundtrip": delta_copy_pos_roundtrip,
+    "cdc_chunks": cdc_chunks,
+    "cdc_dedup_ratio": cdc_dedup_ratio,
+    "cdc_covers": cdc_covers,
+    "lpc_order1": lpc_order(1),
+    "lpc_order2": lpc_order(2),
+    "lpc_order3": lpc_order(3),
+    "lpc_roundtrip": lpc_roundtrip,
+    "perm_bits": perm_bits,
+    "leb128_size": leb128_size,
+    "path_parts": path_parts,
+    "crc32_payload": crc32_payload,
+    "sha256_payload": sha256_payload,
+    "codec_ratio_by_source": codec_ratio_by_source,
+    "codec_roundtrip": codec_roundtrip,
+    "encrypted_roundtrip": encrypted_roundtrip,
+    "archive_roundtrip": archive_roundtrip,
+    "memory_estimates": memory_estimates,
+}
+
+_E = "e AS (SELECT doc_id, '.' || lang AS ext, lpad(doc_id::VARCHAR, 12, '0') || '.' || lang AS filename, source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.' || lang AS path, octet_length(encode(text))::BIGINT AS size FROM documents)"
+_P = _E + ", p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY ext, filename, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_pos FROM e)"
+_B = _P + f", b AS (SELECT *, unnest(range(global_pos // {BLOCK}, (global_pos + size - 1) // {BLOCK} + 1)) AS block_id FROM p WHERE size > 0), m AS (SELECT block_id, doc_id, (greatest(global_pos, block_id * {BLOCK}) - global_pos)::BIGINT AS begin, (least(global_pos + size, (block_id + 1) * {BLOCK}) - greatest(global_pos, block_id * {BLOCK}))::BIGINT AS length, (greatest(global_pos, block_id * {BLOCK}) - block_id * {BLOCK})::BIGINT AS \"at\" FROM b)"
+_POINTS = f", pt AS (SELECT DISTINCT (block_id * {BLOCK})::BIGINT AS pos FROM m)"
+_HEX = "h AS (SELECT lang, doc_id, regexp_extract_all(hex(encode(text)), '..') AS x FROM {0})"
+_HEADS = "(SELECT lang, doc_id, substring(text, 1, 4096) AS text FROM documents)"
+_BY = "y AS (SELECT doc_id, i - 1 AS pos, x[i] AS byte FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM h))"
+_ALIGN = f"WITH {_HEX.format(_HEADS)}, {_BY}, k AS (SELECT doc_id, k::INT AS k, pos % k AS r, byte, count(*) AS n FROM y, unnest([1, 2, 4, 8, 16]) t(k) GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k, r) AS p FROM k), z AS (SELECT doc_id, k, r, -sum(p * log2(p)) + 0.0 AS entropy FROM s GROUP BY ALL), al AS (SELECT doc_id, k, round(avg(entropy), 6) AS entropy FROM z GROUP BY ALL)"
+
+
+def _chunks(n: int) -> str:
+    return f"c AS (SELECT doc_id, (k * {n})::BIGINT AS pos, substring(text, k * {n} + 1, {n}) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {n} + 1)) AS k FROM documents WHERE length(text) > 0)), f AS (SELECT *, doc_id * 4294967296 + pos AS id, sha256(chunk) AS hash, min(doc_id * 4294967296 + pos) OVER (PARTITION BY sha256(chunk)) AS original FROM c)"
+
+
+_REFS = f"{_chunks(64)}, r AS (SELECT doc_id, pos AS copy_pos, original AS original_pos, 64 AS length FROM f WHERE length(chunk) = 64 AND original < id), w AS (SELECT *, CASE WHEN lag(copy_pos + 64) OVER o = copy_pos AND lag(original_pos + 64) OVER o = original_pos THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY copy_pos)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY copy_pos) AS island FROM w), g AS (SELECT doc_id, min(copy_pos)::BIGINT AS copy_pos, min(original_pos)::BIGINT AS original_pos, sum(length)::BIGINT AS length, count(*) AS parts FROM i GROUP BY doc_id, island)"
+_EV = "v AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events)"
+
+
+def _lpc(k: int) -> str:
+    lag = [f"coalesce(lag(ms, {i}) OVER o, 0)" for i in (1, 2, 3)]
+    term = {1: f"ms - {lag[0]}", 2: f"ms - 2 * {lag[0]} + {lag[1]}", 3: f"ms - 3 * {lag[0]} + 3 * {lag[1]} - {lag[2]}"}[k]
+    return f"WITH {_EV} SELECT user_id, event_id, ({term})::BIGINT AS delta FROM v WINDOW o AS (PARTITION BY user_id ORDER BY event_id)"
+
+
+_ESTIMATES = ", ".join(f"({level}, {threads}, {memory_estimate(Options.of_level(level), threads)})" for level in LEVELS for threads in (1, 8))
+
+ORACLE = {
+    "manifest_global_pos": f"WITH {_P} SELECT doc_id, ext, size, global_pos FROM p",
+    "block_map_solid": f"WITH {_B} SELECT block_id, doc_id, begin, length, \"at\" FROM m",
+    "block_map_per_file": f"WITH {_P}, k AS (SELECT *, unnest(range(0, (size - 1) // 4096 + 1)) AS k FROM p WHERE size > 0) SELECT (global_pos + k * 4096)::BIGINT AS block_id, doc_id, (k * 4096)::BIGINT AS begin, least(4096, size - k * 4096)::BIGINT AS length FROM k",
+    "block_bytes": f"WITH {_B} SELECT block_id, sum(length)::BIGINT AS n_bytes, count(*) AS n_files FROM m GROUP BY block_id",
+    "locate_blocks": f"WITH {_B}{_POINTS} SELECT pt.pos, p.doc_id, (pt.pos - p.global_pos)::BIGINT AS \"offset\" FROM pt JOIN p ON p.size > 0 AND pt.pos >= p.global_pos AND pt.pos < p.global_pos + p.size",
+    "asof_locate": f"WITH {_B}{_POINTS}, s AS (SELECT global_pos FROM p WHERE size > 0) SELECT pt.pos, s.global_pos AS start FROM pt ASOF JOIN s ON pt.pos >= s.global_pos",
+    "dir_contained_size": "WITH p AS (SELECT string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS x, octet_length(encode(html))::BIGINT AS size FROM pages), d AS (SELECT array_to_string(x[1:i], '/') AS dir, size FROM (SELECT x, size, unnest(range(1, len(x))) AS i FROM p)) SELECT dir, sum(size)::BIGINT AS contained_size, count(*) AS n_files FROM d GROUP BY dir",
+    "byte_histogram": f"WITH {_HEX.format('documents')}, y AS (SELECT lang, unnest(x) AS b FROM h) SELECT lang, ('0x' || b)::INT AS byte, count(*) AS n FROM y GROUP BY ALL",
+    "byte_entropy_by_lang": f"WITH {_HEX.format('documents')}, y AS (SELECT lang, unnest(x) AS b FROM h), c AS (SELECT lang, b, count(*) AS n FROM y GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, sum(n)::BIGINT AS n_bytes, round(-sum(p * log2(p)) + 0.0, 9) AS entropy FROM s GROUP BY lang",
+    "entropy_by_alignment": f"{_ALIGN} SELECT doc_id, k, entropy FROM al",
+    "alignment_choice": f"{_ALIGN}, o AS (SELECT doc_id, k, round(entropy + CASE k WHEN 1 THEN 0 WHEN 2 THEN 0.05 WHEN 4 THEN 0.1 WHEN 8 THEN 0.3 ELSE 0.6 END, 6) AS score FROM al) SELECT doc_id, k, score FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, k) = 1",
+    "stride_mode": f"WITH {_HEX.format(_HEADS)}, {_BY}, l AS (SELECT doc_id, (pos - lag(pos) OVER (PARTITION BY doc_id, pos // 1024, byte ORDER BY pos)) & 255 AS d FROM y), c AS (SELECT doc_id, d, count(*) AS n FROM l WHERE d > 0 GROUP BY ALL) SELECT doc_id, d::INT AS stride, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d) = 1",
+    "fixed_chunk_dedup": f"WITH {_chunks(256)} SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (original < id) AS n_duplicates, coalesce(sum(length(chunk)) FILTER (original < id), 0)::BIGINT AS duplicate_length FROM f GROUP BY doc_id",
+    "exact_duplicate_docs": "SELECT doc_id, original_id, hash FROM (SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS original_id FROM documents) WHERE original_id < doc_id",
+    "dedup_coalesce": f"WITH {_REFS} SELECT doc_id, copy_pos, original_pos, length, parts FROM g",
+    "delta_copy_pos": f"WITH {_REFS} SELECT doc_id, copy_pos, length, (copy_pos - coalesce(lag(copy_pos + length) OVER (PARTITION BY doc_id ORDER BY copy_pos), 0))::BIGINT AS copy_delta FROM g",
+    "delta_copy_pos_roundtrip": f"WITH {_REFS} SELECT doc_id, copy_pos, length FROM g",
+    "cdc_covers": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, octet_length(encode(text))::BIGINT AS end_pos FROM documents WHERE text <> ''",
+    "lpc_order1": _lpc(1),
+    "lpc_order2": _lpc(2),
+    "lpc_order3": _lpc(3),
+    "lpc_roundtrip": f"WITH {_EV} SELECT user_id, event_id, ms FROM v",
+    "perm_bits": "SELECT i::INT AS mode, (" + " + ".join(f"(((i >> {k}) & 1) << {8 - k})" for k in range(9)) + ")::INT AS permissions FROM range(512) t(i)",
+    "leb128_size": "SELECT greatest(1, ceil(length(ltrim(bin(l_partkey), '0')) / 7))::INT AS n_bytes, count(*) AS n, sum(greatest(1, ceil(length(ltrim(bin(l_orderkey), '0')) / 7)))::BIGINT AS order_bytes FROM lineitem GROUP BY 1",
+    "path_parts": f"WITH {_E} SELECT doc_id, filename, ext FROM e",
+    "sha256_payload": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "codec_roundtrip": "SELECT page_id, html FROM pages",
+    "encrypted_roundtrip": "SELECT page_id, html FROM pages",
+    "archive_roundtrip": "SELECT doc_id, text FROM documents",
+    "memory_estimates": f"SELECT level::INT AS level, threads::INT AS threads, n_bytes::BIGINT AS n_bytes FROM (VALUES {_ESTIMATES}) t(level, threads, n_bytes)",
+}
