@@ -30,7 +30,7 @@ from strata.llm import storage, text
 ORDER = 5
 LOW = 5.0
 HIGH = 5.0
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 _COUNTS = "lang string, gram string, c long"
 
 
@@ -109,7 +109,7 @@ class _Counter:
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             held = self.held.setdefault(lang, [])
             held.append((key[edge], np.diff(np.concatenate([edge, [len(key)]]))))
-            if len(held) > 12:
+            if sum(len(k) for k, _ in held) > max(1 << 20, 2 * len(held[0][0])):
                 self.held[lang] = [_merge(held)]
 
     def flush(self):
@@ -199,26 +199,33 @@ def _gram_hash(points: list[np.ndarray], seed: int, m: int) -> np.ndarray:
     return text.mix(_fold(points, seed)) if points else np.array([seed], text.U64)
 
 
+def _hashed(table: DataFrame) -> DataFrame:
+    """(key, logp, logb) of a model_table()."""
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            langs, orders = batch.column("lang"), batch.column("m").to_numpy()
+            key = np.zeros(batch.num_rows, text.U64)
+            for lang in pc.unique(langs).to_pylist():
+                own = (pc.is_null(langs) if lang is None else pc.fill_null(pc.equal(langs, lang), False)).to_numpy(zero_copy_only=False)
+                for m in np.unique(orders[own]):
+                    rows = np.flatnonzero(own & (orders == m))
+                    points, _ = text.code_points(text.strings(batch.column("gram").take(pa.array(rows))))
+                    points = points.reshape(len(rows), m)
+                    key[rows] = _gram_hash([points[:, i] for i in range(m)], text.seed_of(lang), int(m))
+            yield pa.record_batch([pa.array(key.view(np.int64)), batch.column("logp"), batch.column("logb")], names=["key", "logp", "logb"])
+
+    return table.mapInArrow(work, "key long, logp double, logb double")
+
+
 class Model:
-    """The sorted hash arrays of a model_table()."""
+    """The sorted hash arrays of a model_table(), as a worker holds them."""
 
     def __init__(self, table: pa.Table, n: int):
         self.n = n
-        keys, logp, logb = [], [], []
-        table = table.combine_chunks()
-        for lang in pc.unique(table["lang"]).to_pylist():
-            seed = text.seed_of(lang)
-            own = table.filter(pc.is_null(table["lang"]) if lang is None else pc.equal(table["lang"], lang))
-            for m in range(n + 1):
-                part = own.filter(pc.equal(own["m"], m))
-                if part.num_rows:
-                    points, _ = text.code_points(text.strings(part["gram"]))
-                    points = points.reshape(part.num_rows, m)
-                    keys.append(_gram_hash([points[:, i] for i in range(m)], seed, m))
-                    logp.append(part["logp"].to_numpy())
-                    logb.append(np.nan_to_num(part["logb"].to_numpy().astype(float)))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.arrays = text.HashArrays(join(keys, text.U64), logp=join(logp, float), logb=join(logb, float))
+        self.arrays = text.HashArrays(table["key"].to_numpy().view(text.U64), logp=table["logp"].to_numpy(), logb=np.nan_to_num(table["logb"].to_numpy().astype(float)))
 
     def score(self, lang: str | None, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each window of n code points, 0 where the window crosses rows; whether it lies in one row."""
@@ -263,7 +270,8 @@ class Scores:
         self.table = storage.cut(model_table(storage.cut(count_ngrams(docs, n)), n))
         self.shared = None
         if self.table.count() * 24 <= (storage.BROADCAST_BYTES if limit is None else limit):
-            self.shared = spark.sparkContext.broadcast(Model(self.table.toArrow(), n))
+            self.shared = storage.new_folder(spark, "ngrams")
+            _hashed(self.table).sort(F.col("key") < 0, "key").write.parquet(self.shared)
 
     def by_join(self, docs: DataFrame) -> DataFrame:
         """(lang, key, n, s, q) of each distinct text; key is its hash. The documents must be those that were counted."""
@@ -293,11 +301,11 @@ def score(docs: DataFrame, scores: Scores) -> DataFrame:
         joined = rows.join(by, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("key") == F.col("sk")), "left")
         return joined.select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
-    shared = scores.shared
+    shared, order = scores.shared, scores.n
 
     def work(batches):
         for batch in batches:
-            n, s, q = _score_batch(shared.value, batch)
+            n, s, q = _score_batch(storage.held(shared, lambda t: Model(t, order)), batch)
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang").cast(pa.string()), pa.array(n), pa.array(s), pa.array(q)], names=["doc_id", "lang", "n", "s", "q"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n long, s double, q double"
@@ -344,7 +352,7 @@ def filter_documents(docs: DataFrame, n: int = ORDER, low: float = LOW, high: fl
     def work(batches):
         for batch in batches:
             part = pa.record_batch([batch.column(at[0]).cast(pa.string()), batch.column(at[1])], names=["lang", "text"])
-            count, s, _ = _score_batch(shared.value, part)
+            count, s, _ = _score_batch(storage.held(shared, lambda t: Model(t, n)), part)
             langs = part.column("lang").to_pylist()
             median, spread, sigma = (np.array([band.get(x, (0.0, 0.0, 0.0))[i] for x in langs]) for i in range(3))
             some = np.maximum(count, 1)

@@ -34,3 +34,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+_HELD: dict[str, object] = {}
+
+
+def read_arrays(folder: str):
+    """In a worker: the table of a folder that Spark wrote, kept for the next tasks."""
+    from pyarrow import dataset, fs
+
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return dataset.dataset(path, filesystem=system, format="parquet").to_table()
+
+
+def held(folder: str, build):
+    """In a worker: build(table of the folder), once for each worker."""
+    if folder not in _HELD:
+        import pyarrow as pa
+
+        _HELD.clear()
+        _HELD[folder] = build(read_arrays(folder))
+        pa.default_memory_pool().release_unused()
+    return _HELD[folder]
+
+
+def table(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder as Parquet, and read from there."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -165,9 +165,10 @@ class HashArrays:
     """Sorted 64-bit hashes with columns of values beside them. Looked up through an index of their leading bits."""
 
     def __init__(self, keys: np.ndarray, **values: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.values = {k: v[order] for k, v in values.items()}
+        if len(keys) and (keys[1:] < keys[:-1]).any():
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], {k: v[order] for k, v in values.items()}
+        self.keys, self.values = keys, values
         bits = max(1, min(26, len(keys).bit_length()))
         self.shift = U64(64 - bits)
         self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=U64)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
