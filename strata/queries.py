@@ -142,16 +142,16 @@ def cdc_covers(spark, d):
 
 
 def _events(spark, d):
-    return _read(spark, d, "events").select("user_id", "event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("ms"))
+    return _read(spark, d, "events").select("user_id", "event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("us"))
 
 
 def lpc_order(k):
-    return lambda spark, d: dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "ms", k).select("user_id", "event_id", "delta")
+    return lambda spark, d: dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "us", k).select("user_id", "event_id", "delta")
 
 
 def lpc_roundtrip(spark, d):
-    x = dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "ms", 3)
-    return dedup.undifferences(x, ["user_id"], ["event_id"], 3).select("user_id", "event_id", F.col("restored").alias("ms"))
+    x = dedup.differences(_events(spark, d), ["user_id"], ["event_id"], "us", 3)
+    return dedup.undifferences(x, ["user_id"], ["event_id"], 3).select("user_id", "event_id", F.col("restored").alias("us"))
 
 
 def perm_bits(spark, d):
@@ -265,12 +265,12 @@ def _chunks(n: int) -> str:
 
 
 _REFS = f"{_chunks(64)}, r AS (SELECT doc_id, pos AS copy_pos, original AS original_pos, 64 AS length FROM f WHERE length(chunk) = 64 AND original < id), w AS (SELECT *, CASE WHEN lag(copy_pos + 64) OVER o = copy_pos AND lag(original_pos + 64) OVER o = original_pos THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY copy_pos)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY copy_pos) AS island FROM w), g AS (SELECT doc_id, min(copy_pos)::BIGINT AS copy_pos, min(original_pos)::BIGINT AS original_pos, sum(length)::BIGINT AS length, count(*) AS parts FROM i GROUP BY doc_id, island)"
-_EV = "v AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events)"
+_EV = "v AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events)"
 
 
 def _lpc(k: int) -> str:
-    lag = [f"coalesce(lag(ms, {i}) OVER o, 0)" for i in (1, 2, 3)]
-    term = {1: f"ms - {lag[0]}", 2: f"ms - 2 * {lag[0]} + {lag[1]}", 3: f"ms - 3 * {lag[0]} + 3 * {lag[1]} - {lag[2]}"}[k]
+    lag = [f"coalesce(lag(us, {i}) OVER o, 0)" for i in (1, 2, 3)]
+    term = {1: f"us - {lag[0]}", 2: f"us - 2 * {lag[0]} + {lag[1]}", 3: f"us - 3 * {lag[0]} + 3 * {lag[1]} - {lag[2]}"}[k]
     return f"WITH {_EV} SELECT user_id, event_id, ({term})::BIGINT AS delta FROM v WINDOW o AS (PARTITION BY user_id ORDER BY event_id)"
 
 
@@ -298,7 +298,7 @@ ORACLE = {
     "lpc_order1": _lpc(1),
     "lpc_order2": _lpc(2),
     "lpc_order3": _lpc(3),
-    "lpc_roundtrip": f"WITH {_EV} SELECT user_id, event_id, ms FROM v",
+    "lpc_roundtrip": f"WITH {_EV} SELECT user_id, event_id, us FROM v",
     "perm_bits": "SELECT i::INT AS mode, (" + " + ".join(f"(((i >> {k}) & 1) << {8 - k})" for k in range(9)) + ")::INT AS permissions FROM range(512) t(i)",
     "leb128_size": "SELECT greatest(1, ceil(length(ltrim(bin(l_partkey), '0')) / 7))::INT AS n_bytes, count(*) AS n, sum(greatest(1, ceil(length(ltrim(bin(l_orderkey), '0')) / 7)))::BIGINT AS order_bytes FROM lineitem GROUP BY 1",
     "path_parts": f"WITH {_E} SELECT doc_id, filename, ext FROM e",
