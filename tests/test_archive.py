@@ -155,3 +155,33 @@ def test_entry_module(spark):
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 30
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_command_line(spark, tree, tmp_path, monkeypatch):
+    from strata.__main__ import main
+
+    monkeypatch.setattr("pyspark.sql.SparkSession.stop", lambda self: None)
+    path = str(tmp_path / "c.stra")
+    assert main(["a", path, str(tree[0]), "--level", "1", "--no-filter"]) == 0
+    assert main(["x", path, str(tmp_path / "o")]) == 0
+    assert restored(tmp_path / "o") == {f"root/{k}": v for k, v in tree[1].items()}
+    assert main(["x", path, str(tmp_path / "o")]) == -errors.CannotWrite.code
+
+
+def test_progress_and_abort(spark):
+    from strata.plans.progress import smoothed, watched
+
+    seen = []
+    with watched(spark, lambda p: seen.append(p) or True, 0.05):
+        spark.range(0, 3_000_000, 1, 6).selectExpr("sum(id * id)").collect()
+    with pytest.raises(errors.Aborted), watched(spark, lambda p: False, 0.05):
+        spark.range(0, 1 << 40, 1, 4).selectExpr("sum(sqrt(id))").collect()
+    assert spark.range(5).count() == 5 and smoothed(64.0, 0.0) == 63.0
+
+
+def test_windows_bound_references(spark):
+    rows = [(b"x", 600, p) for p in (0, 1000, 9000)] + [(b"y", 10, 700), (b"y", 10, 710)]
+    c = spark.createDataFrame(rows, "hash binary, length long, global_pos long")
+    marked = lambda **k: {r["global_pos"]: r["original_pos"] for r in dedup.mark_references(c, **k).collect()}
+    assert marked() == {0: None, 1000: 0, 9000: 0, 700: None, 710: None}
+    assert marked(window=5000) == {0: None, 1000: 0, 9000: None, 700: None, 710: None}

@@ -133,3 +133,18 @@ def test_memory_estimates_grow_with_threads():
         assert ("aes256" in o.codecs) == bool(level % 2) and (not o.codecs or o.codecs[-1] == "aes256" or level % 2 == 0)
     with pytest.raises(UnknownCodec):
         memory_estimate(Options(("nothing",)), 1)
+
+
+@given(st.lists(st.integers(0, 12)), st.integers(1, 8))
+def test_recency_lists(values, slots):
+    from strata.functions import recency
+
+    codes = recency.encode(values, slots)
+    assert recency.decode([(p, v if p < 0 else None) for p, v in codes], slots) == values and all(-1 <= p < slots for p, _ in codes)
+
+
+def test_literal_modes():
+    ramp = np.arange(5000, dtype=np.int64).astype(np.uint8)
+    assert filters.literal_mode(ramp, 1) == "delta" and filters.literal_mode(np.zeros(100, np.uint8), 3) == "exclusion"
+    rng = np.random.default_rng(1)
+    assert filters.literal_mode(rng.integers(0, 4, 5000).astype(np.uint8), 1) == "raw"
