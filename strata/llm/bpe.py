@@ -177,6 +177,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     """(doc_id, tokens, n_tokens) of every row."""
 
     def work(batches):
+        text.trim()
         for batch in batches:
             for first, block in text.slices(text.strings(batch.column(1)), _BLOCK):
                 rows = encode_texts(block.to_pylist(), path, pattern)
@@ -189,6 +190,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of rows with doc_id and tokens."""
 
     def work(batches):
+        text.trim()
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([decode_tokens(t, path) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -199,6 +201,7 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN)
     """(doc_id, tokens, n_tokens, same): the tokens of every row and whether they decode to its text."""
 
     def work(batches):
+        text.trim()
         for batch in batches:
             for first, block in text.slices(text.strings(batch.column(1)), _BLOCK):
                 texts = block.to_pylist()

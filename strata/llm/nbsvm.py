@@ -98,6 +98,7 @@ def _counts(docs: DataFrame, labels: DataFrame, bits: int) -> tuple[np.ndarray,
     """Documents of the good and of the bad class that hold each feature, over all labelled documents."""
 
     def work(batches):
+        text.trim()
         held = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             good = batch.column(1).to_numpy()
@@ -132,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     rows = docs.select("doc_id", "text").join(F.broadcast(picks), F.col("doc_id") == F.col("labelled")).select("md5", "text", "good")
 
     def places(batches):
+        text.trim()
         for batch in batches:
             place, at = features(batch.column(1), bits)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32))), batch.column(2)], names=["md5", "place", "good"])
@@ -163,6 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
+        text.trim()
         for batch in batches:
             ids, texts = batch.column(0), text.strings(batch.column(1))
             for first, block in text.slices(texts, _BLOCK):

@@ -127,6 +127,7 @@ def pack(docs: DataFrame, window: int = WINDOW, sentence: float = SENTENCE, hard
     """(shard, window, n_words, padding, doc_ids, starts, ends) of each window; starts and ends are places of words in the documents."""
 
     def measure(batches):
+        text.trim()
         for batch in batches:
             texts, ids, key = (batch.column(i) for i in range(3))
             for first, block in text.slices(text.strings(texts), _BLOCK):

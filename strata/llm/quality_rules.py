@@ -137,6 +137,7 @@ def count_ngrams(docs: DataFrame, n: int = ORDER) -> DataFrame:
     """(lang, gram, c) over all documents."""
 
     def work(batches):
+        text.trim()
         counter = _Counter(n)
         for batch in batches:
             for lang, _, block in _by_lang(batch):
@@ -203,6 +204,7 @@ def _hashed(table: DataFrame) -> DataFrame:
     """(key, logp, logb) of a model_table()."""
 
     def work(batches):
+        text.trim()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -278,6 +280,7 @@ class Scores:
         n = self.n
 
         def work(batches):
+            text.trim()
             for batch in batches:
                 texts, keys = text.strings(batch.column("text")), batch.column("key")
                 for i in range(batch.num_rows):
@@ -304,6 +307,7 @@ def score(docs: DataFrame, scores: Scores) -> DataFrame:
     shared, order = scores.shared, scores.n
 
     def work(batches):
+        text.trim()
         for batch in batches:
             n, s, q = _score_batch(storage.held(shared, lambda t: Model(t, order)), batch)
             yield pa.record_batch([batch.column("doc_id"), batch.column("lang").cast(pa.string()), pa.array(n), pa.array(s), pa.array(q)], names=["doc_id", "lang", "n", "s", "q"])
@@ -350,6 +354,7 @@ def filter_documents(docs: DataFrame, n: int = ORDER, low: float = LOW, high: fl
     at, shared = (docs.columns.index("lang"), docs.columns.index("text")), scores.shared
 
     def work(batches):
+        text.trim()
         for batch in batches:
             part = pa.record_batch([batch.column(at[0]).cast(pa.string()), batch.column(at[1])], names=["lang", "text"])
             count, s, _ = _score_batch(storage.held(shared, lambda t: Model(t, n)), part)

@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest number of bytes that is broadcast; beyond it the callers join by shuffle.
 BROADCAST_BYTES = 192 << 20
+#: Most rows of an Arrow batch: what a task holds of the texts at once, in the JVM and in Python, follows from it.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_ROWS rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
+    bound_batches(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
