@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strata.llm import nbsvm, quality_rules, text, toxicity
 from tests.llm.conftest import SCHEMA, row, sentence
@@ -136,3 +137,12 @@ def test_classifier_of_hard_rows(hard, empty, labels, spark):
     assert nbsvm.classify(hard, labels).count() == hard.count()
     assert nbsvm.classify(empty, labels).count() == 0
     assert all(r["keep"] and r["margin"] == 0 for r in nbsvm.classify(hard, spark.createDataFrame([], labels.schema)).collect())
+
+
+def test_toxic_documents_of_every_language_are_found(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.toxicity(docs, labels).withColumnRenamed("toxic", "got").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    share = {(r["lang"], r["toxic"]): r["share"] for r in rows.groupBy("lang", "toxic").agg(F.avg(F.col("got").cast("int")).alias("share")).collect()}
+    assert {lang for lang, _ in share} == {"de", "en", "es", "fr"}
+    assert all(s > 0.85 if toxic else s < 0.03 for (_, toxic), s in share.items()), share
