@@ -8,7 +8,7 @@ counts, for each class, the documents that hold a feature; the log-count ratio o
 A document is the vector of the r of its features, scaled to length 1, and a constant; a linear machine with hinge loss is fitted to
 these by dual coordinate descent, the cost of a class being inverse to its share. It is fitted to a bounded sample of labelled rows, in
 each class those SAMPLE of least md5 of their doc_id; ratios are those of all labelled documents. A document is kept when its margin isn't
-below the cut-off: the least margin that KEEP of the good documents of the sample that were held out of the fit reach, or 0 if that is less.
+negative: when the machine puts it on the good side.
 
 Defined results: a null or empty text has no features, and its margin is that of the constant; a label that is null or belongs to no
 document is ignored, one of several counts by its largest; with documents of one class only, or none, all margins are 0 and all
@@ -27,7 +27,6 @@ from strata.llm import storage, text
 BITS = 18
 ALPHA = 1.0
 SAMPLE = 4000
-KEEP = 0.999
 COST = 1.0
 EPOCHS = 20
 _BLOCK = 1 << 20
@@ -122,7 +121,7 @@ def _counts(docs: DataFrame, labels: DataFrame, bits: int) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE):
-    """(ratios, weights, cut-off), or None with documents of one class only; fitted in one task, to the bounded sample."""
+    """(ratios, weights), or None with documents of one class only; fitted in one task, to the bounded sample."""
     good, bad = _counts(docs, labels, bits)
     if not good.any() or not bad.any():
         return None
@@ -140,23 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
 
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by([("md5", "ascending")])
-        md5, y = t["md5"].to_pylist(), np.where(t["good"].to_numpy() == 1, 1, -1)
+        y = np.where(t["good"].to_numpy() == 1, 1, -1)
         at = np.array([np.asarray(x.values, np.int64) for x in t["place"]], object) if t.num_rows == 1 else [np.asarray(x.values, np.int64) for x in t["place"]]
-        out = np.array([m[0] in "ef" for m in md5])
-        if len(set(y[~out].tolist())) < 2:
-            out[:] = False
-        fitted = np.flatnonzero(~out)
         vectors = [_unit(shared.value[p]) for p in at]
-        n = {c: max(1, int((y[fitted] == c).sum())) for c in (1, -1)}
-        cost = np.array([COST * len(fitted) / (2 * n[int(c)]) for c in y[fitted]])
-        w = dual_descent([at[i] for i in fitted], [vectors[i] for i in fitted], y[fitted], cost, 1 << bits)
-        check = np.flatnonzero((out if out.any() else ~out) & (y == 1))
-        margins = np.sort([vectors[i] @ w[at[i]] + w[-1] for i in check])
-        low = min(0.0, float(margins[int((1 - KEEP) * len(margins))])) if len(margins) else 0.0
-        return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64())), "low": pa.array([low], pa.float64())})
+        cost = np.array([COST * len(y) / (2 * int((y == c).sum())) for c in y])
+        return pa.table({"weights": pa.array([dual_descent(at, vectors, y, cost, 1 << bits).tolist()], pa.list_(pa.float64()))})
 
-    solved = rows.mapInArrow(places, "md5 string, place array<int>, good int").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "weights array<double>, low double").toArrow()
-    return r, np.asarray(solved["weights"].chunk(0).values), solved["low"][0].as_py()
+    solved = rows.mapInArrow(places, "md5 string, place array<int>, good int").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "weights array<double>").toArrow()
+    return r, np.asarray(solved["weights"].chunk(0).values)
 
 
 def classify(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
@@ -172,9 +162,9 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int =
                 if shared.value is None:
                     m, keep = np.zeros(len(block)), np.ones(len(block), bool)
                 else:
-                    ratio, weights, low = shared.value
+                    ratio, weights = shared.value
                     m = np.round(_margins(block, ratio, weights, bits), 6)
-                    keep = m >= round(low, 6)
+                    keep = m >= 0
                 yield pa.record_batch([ids.slice(first, len(block)), pa.array(m), pa.array(keep)], names=["doc_id", "margin", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, margin double, keep boolean")

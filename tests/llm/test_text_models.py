@@ -1,5 +1,6 @@
 """Quality rules, toxicity and the classifier."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -146,3 +147,13 @@ def test_toxic_documents_of_every_language_are_found(spark):
     share = {(r["lang"], r["toxic"]): r["share"] for r in rows.groupBy("lang", "toxic").agg(F.avg(F.col("got").cast("int")).alias("share")).collect()}
     assert {lang for lang, _ in share} == {"de", "en", "es", "fr"}
     assert all(s > 0.85 if toxic else s < 0.03 for (_, toxic), s in share.items()), share
+
+
+def test_one_mislabelled_document_doesnt_decide_what_is_kept(spark):
+    rng = random.Random(6)
+    junk = lambda: " ".join(rng.choice(["buy", "click", "cheap", "now", "win"]) for _ in range(50))
+    docs = spark.createDataFrame([row(i, junk() if i % 4 == 0 else sentence(rng)) for i in range(300)], SCHEMA)
+    odd = next(i for i in range(0, 150, 4) if hashlib.md5(str(i).encode()).hexdigest()[0] in "ef")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0 or i == odd), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in nbsvm.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(152, 300, 4)) <= 2 and all(got[i] for i in range(150, 300) if i % 4)
