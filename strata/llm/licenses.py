@@ -80,7 +80,7 @@ def _gate() -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, detections, n_detections) of every row; licenses are distinct, in order of place."""
     kind = pa.list_(pa.struct([("license", pa.string()), ("rule", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    loose = re.sub(r"(?<!\\) |\\ ", r"\\s+", _gate())
+    loose = re.sub(r"(?<!\\) |\\ ", lambda _: r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", _gate())  # all that \s is in Python
 
     def work(batches):
         for batch in batches:

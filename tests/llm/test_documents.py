@@ -187,6 +187,13 @@ def test_licenses_without_a_prefilter(spark, hard, empty):
     assert licenses.scan(hard).count() == hard.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_with_any_white_space(spark):
+    spaces = [chr(c) for c in range(0x110000) if re.fullmatch(r"\s", chr(c))]
+    texts = [t.replace(" ", x) for x in spaces for t in ("CC BY-SA 4.0", "all rights reserved", "in the public domain")]
+    got = {r["doc_id"]: r["n_detections"] for r in licenses.scan(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all(got[i] == len(licenses.scan_text(t)) > 0 for i, t in enumerate(texts))
+
+
 def test_tokens_are_those_of_merging(spark, hard, empty):
     import tiktoken
 
