@@ -33,3 +33,21 @@ def empty(spark):
 def labels(spark):
     rows = [(i, int(i % 5 > 0), int(i % 4 == 0)) for i in range(30)] + [(0, 1, 1), (None, 1, 1), (5, None, None), (999, 1, 1)]
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def same_as_sql(frame, sql, **tables):
+    """Whether a query's rows are those that the SQL gives over the tables; floats to 5 digits."""
+    import duckdb
+
+    c = duckdb.connect()
+    for name, t in tables.items():
+        c.register(name, t.toArrow())
+    norm = lambda x: round(x, 5) if isinstance(x, float) else tuple(map(norm, x)) if isinstance(x, (list, tuple)) else x
+    columns = sorted(frame.columns)
+    got = sorted((tuple(norm(r[k]) for k in columns) for r in frame.collect()), key=str)
+    q = c.execute(sql)
+    names = [x[0] for x in q.description]
+    want = sorted((tuple(norm(dict(zip(names, r))[k]) for k in columns) for r in q.fetchall()), key=str)
+    assert sorted(names) == columns and len(got) == len(want)
+    assert got == want, [x for x in zip(got, want) if x[0] != x[1]][:3]
+    return True

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strata.llm import nbsvm, quality_rules, text, toxicity
-from tests.llm.conftest import SCHEMA, row, sentence
+from tests.llm.conftest import SCHEMA, row, same_as_sql, sentence
 
 
 def kneser_ney(texts, n):
@@ -107,6 +108,33 @@ def test_toxicity_of_hard_rows(hard, empty, labels, spark):
     assert toxicity.filter_documents(hard, none).count() == hard.count()
 
 
+def test_labelled_documents_of_one_word_or_none_train_nothing(spark, hard, labels):
+    more = labels.unionAll(spark.createDataFrame([(i, 1, i % 2) for i in (42, 43, 45, 46, 47, 48, 49)], labels.schema))
+    assert same_as_sql(toxicity.toxicity(hard, more), toxicity.ORACLE_SQL, documents=hard, labels=more)
+    short = spark.createDataFrame([row(i, "word" if i % 2 else "") for i in range(40)], SCHEMA)
+    of = spark.createDataFrame([(i, 1, i % 3 and 1) for i in range(40)], labels.schema)
+    assert same_as_sql(toxicity.toxicity(short, of), toxicity.ORACLE_SQL, documents=short, labels=of)
+    assert not any(r["toxic"] for r in toxicity.toxicity(short, of).collect())
+
+
+def test_very_unequal_classes(spark, labels):
+    rng = random.Random(15)
+    bad = lambda: " ".join(w if rng.random() > 0.06 else rng.choice(["scum", "moron"]) for w in sentence(rng, 800).split())
+    texts = [bad() if i % 2 else "one two three" if i < 40 else sentence(rng, 100) for i in range(200)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    for of in ([(i, 1, i % 2) for i in range(150)], [(i, 1, i % 2) for i in range(150) if i % 2 == 0 or i < 20]):
+        lab = spark.createDataFrame(of, labels.schema)
+        got = toxicity.toxicity(docs, lab)
+        assert same_as_sql(got, toxicity.ORACLE_SQL, documents=docs, labels=lab)
+        assert sum(r["toxic"] for r in got.collect() if r["doc_id"] % 2 and r["doc_id"] >= 150) >= 23
+        assert sum(r["toxic"] for r in got.collect() if r["doc_id"] % 2 == 0 and r["doc_id"] >= 150) <= 2
+
+
+def test_every_word_of_the_corpus_is_counted(spark, hard):
+    want = Counter(text.word_hash(w) for r in hard.collect() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (r["text"] or "").lower()))
+    assert {r["word"] % (1 << 64): r["n"] for r in toxicity.corpus_counts(hard).collect()} == want
+
+
 def test_dual_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 6))
