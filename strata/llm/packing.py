@@ -11,12 +11,15 @@ the words before each cut and f(j) the least cost up to cut j,
 so that the minimum is that of a sliding window, kept in a monotone queue: the work is linear in the number of cuts. Of equal ones, the
 earliest i is taken, which makes the longest window.
 
-The sequence is divided into shards of SHARD consecutive values of doc_id, each optimal for itself; a shard ends with a cut that costs
-nothing. So every shard is one task's work, whatever the size of the table.
-
-Defined results: a document without words, or with a null text, is in no window; documents with a null doc_id are a shard of their own
-before the others; several rows with one doc_id follow each other in the order of their texts' hashes; an empty table gives no window;
-other columns are ignored.
+The sequence is divided into shards: a document belongs to the shard that its first word's place in the whole sequence, divided by SHARD,
+gives. Each is one task's work and optimal for itself; it ends with a cut that costs nothing, so that what sharding can cost is less than
+one window in SHARD / WINDOW. Places are a prefix sum in two passes: the measured documents are range-partitioned in order, and the sums of
+the partitions, a number for each, are added to those within. So the windows follow from the documents and their order alone, not from the
+values of doc_id or the partitions.
+
+Defined results: a document without words, or with a null text, is in no window; documents with a null doc_id come before the others;
+doc_id may be of any type that can be ordered; several rows with one doc_id follow each other in the order of their texts' hashes; a
+document of more than SHARD words isn't divided between shards; an empty table gives no window; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import text
+from strata.llm import storage, text
 
 WINDOW = 2048
 SENTENCE = 64
 HARD = 512
-SHARD = 4096
+SHARD = 1 << 22
 _BLOCK = 4 << 20
-_SCHEMA = "shard long, window int, n_words int, padding int, doc_ids array<long>, starts array<long>, ends array<long>"
 _NOT_SPACE = ~text._IS_SPACE
 
 
@@ -123,10 +125,10 @@ def pack_shard(docs: list[tuple[int | None, list[int]]], window: int = WINDOW, s
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, sentence: float = SENTENCE, hard: float = HARD, shard: int = SHARD) -> DataFrame:
-    """(shard, window, n_words, padding, doc_ids, starts, ends) of each window; starts and ends are places of words in the documents."""
+def measure(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, words, lengths) of each document that has words; lengths are those of its sentences."""
 
-    def measure(batches):
+    def work(batches):
         text.trim()
         for batch in batches:
             texts, ids, key = (batch.column(i) for i in range(3))
@@ -136,20 +138,51 @@ def pack(docs: DataFrame, window: int = WINDOW, sentence: float = SENTENCE, hard
                 sizes = np.concatenate([[0], np.cumsum(np.diff(at)[rows])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(lengths.astype(np.int32)))
                 take = pa.array(first + rows)
-                yield pa.record_batch([ids.take(take), key.take(take), lists], names=["doc_id", "tie", "lengths"])
+                yield pa.record_batch([ids.take(take), key.take(take), pa.array(words[rows].astype(np.int64)), lists], names=["doc_id", "tie", "words", "lengths"])
+
+    d = docs.select("text", "doc_id", F.xxhash64("text").alias("tie")).where("text is not null")
+    return d.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, words long, lengths array<int>")
+
+
+def placed(measured: DataFrame) -> DataFrame:
+    """(at, doc_id, lengths): at is the number of words in all documents before, in order of doc_id and tie."""
+    spark = measured.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = measured.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id())
+    ranged, before, upto = storage.cut(ranged), {}, 0
+    for r in ranged.groupBy("part").agg(F.sum("words").alias("words")).orderBy("part").collect():  # a row a partition
+        before[r["part"]], upto = upto, upto + r["words"]
+
+    def work(batches):
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                at = before[batch.column("part")[0].as_py()]
+            words = batch.column("words").to_numpy()
+            ends = at + np.cumsum(words)
+            at = int(ends[-1])
+            yield pa.record_batch([pa.array(ends - words), batch.column("doc_id"), batch.column("lengths")], names=["at", "doc_id", "lengths"])
+
+    return ranged.mapInArrow(work, f"at long, doc_id {measured.schema['doc_id'].dataType.simpleString()}, lengths array<int>")
+
+
+def pack(docs: DataFrame, window: int = WINDOW, sentence: float = SENTENCE, hard: float = HARD, shard: int = SHARD) -> DataFrame:
+    """(shard, window, n_words, padding, doc_ids, starts, ends) of each window; starts and ends are places of words in the documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+        t = t.sort_by("at")
         rows = pack_shard(list(zip(t["doc_id"].to_pylist(), t["lengths"].to_pylist())), window, sentence, hard)
         n = len(rows)
         used = [r[0] for r in rows]
-        lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2, 3)]
-        of = pa.chunked_array([pa.array([t["shard"][0].as_py()] * n, pa.int64())])
+        lists = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in ((1, t.schema.field("doc_id").type), (2, pa.int64()), (3, pa.int64()))]
+        of = pa.array([t["shard"][0].as_py()] * n, pa.int64())
         return pa.table([of, pa.array(range(n), pa.int32()), pa.array(used, pa.int32()), pa.array([window - x for x in used], pa.int32()), *lists], names=["shard", "window", "n_words", "padding", "doc_ids", "starts", "ends"])
 
-    d = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie")).where("text is not null")
-    measured = d.mapInArrow(measure, "doc_id long, tie long, lengths array<int>")
-    return measured.withColumn("shard", F.floor(F.col("doc_id") / F.lit(shard)).cast("long")).groupBy("shard").applyInArrow(run, _SCHEMA)
+    schema = f"shard long, window int, n_words int, padding int, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, starts array<long>, ends array<long>"
+    rows = placed(storage.table(measure(docs), "measured"))
+    return rows.withColumn("shard", F.floor(F.col("at") / F.lit(shard)).cast("long")).groupBy("shard").applyInArrow(run, schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
