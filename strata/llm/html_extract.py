@@ -7,8 +7,9 @@ deviation of the smoothed ratios times LAMBDA: lines from it on are content, in
 
 Defined results: a null or empty page, one without text, and one whose ratios are all 0 give an empty text, 0 regions and lines as
 counted; where all lines are equal the threshold is 0 and all of them are content; broken markup is read as the parser reads it; script,
-style, noscript, template and comments hold no text; repeated rows are read each for itself; an empty table gives an empty result;
-other columns are ignored.
+style, noscript, template and comments hold no text; a noscript or template that isn't closed before its parent or the page ends is read
+as though its start tag weren't there, so that it silences nothing; repeated rows are read each for itself; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,15 @@ LAMBDA = 1.0
 PIECE = 1 << 16
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 class Lines(HTMLParser):
-    """Collects text and number of tags of each line."""
+    """Collects text and number of tags of each line.
+
+    What a silent element holds is kept aside: it goes when the element is closed, and is read after all when the element turns out not
+    to be closed, at the end tag of an element around it or the end of the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -37,7 +43,10 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self._text: list[str] = []
         self._tags = 0
-        self._silent = 0
+        self._open: list[str] = []  # open elements
+        self._places: dict[str, list[int]] = {}  # where in it each name is
+        self._silent: int | None = None  # place of the outermost silent one
+        self._aside: list[tuple[bool, bool, str]] = []
 
     def _end(self):
         if self._text or self._tags:
@@ -45,36 +54,67 @@ class Lines(HTMLParser):
             self.tags.append(self._tags)
             self._text, self._tags = [], 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+    def _tag(self, starts: bool, tag: str):
+        if starts and tag in BLOCKS:
             self._end()
-        elif tag in SILENT:
-            self._silent += 1
         self._tags += 1
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in BLOCKS:
+        if not starts and tag in BLOCKS:
             self._end()
-        self._tags += 1
 
-    def handle_endtag(self, tag):
-        self._tags += 1
-        if tag in BLOCKS:
-            self._end()
-        elif tag in SILENT and self._silent:
-            self._silent -= 1
-
-    def handle_data(self, data):
-        if self._silent:
-            return
+    def _data(self, data: str):
         first, *rest = data.split("\n")
         self._text.append(first)
         for line in rest:
             self._end()
             self._text.append(line)
 
+    def _take(self, is_tag: bool, starts: bool, value: str):
+        if self._silent is not None:
+            self._aside.append((is_tag, starts, value))
+        elif is_tag:
+            self._tag(starts, value)
+        else:
+            self._data(value)
+
+    def _unsilence(self, read: bool):
+        aside, self._aside, self._silent = self._aside, [], None
+        for is_tag, starts, value in aside if read else [x for x in aside if x[0]]:
+            if not read:
+                self._tags += 1
+            elif is_tag:
+                self._tag(starts, value)
+            else:
+                self._data(value)
+
+    def handle_starttag(self, tag, attrs):
+        self._take(True, True, tag)
+        if tag in VOID:
+            return
+        if tag in SILENT and self._silent is None:
+            self._silent = len(self._open)
+        self._places.setdefault(tag, []).append(len(self._open))
+        self._open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self._take(True, True, tag)
+
+    def handle_endtag(self, tag):
+        places = self._places.get(tag)
+        if places:
+            place = places[-1]
+            while len(self._open) > place:
+                self._places[self._open.pop()].pop()
+            if self._silent is not None and place <= self._silent:
+                self._unsilence(place < self._silent)
+        self._take(True, False, tag)
+
+    def handle_data(self, data):
+        self._take(False, False, data)
+
     def close(self):
         super().close()
+        if self._silent is not None:
+            self._unsilence(self._open[self._silent] not in ("script", "style"))
         self._end()
 
 
