@@ -5,10 +5,10 @@ on with one frame for each record. The reader streams it: it takes the dictionar
 it by itself and checks the record: version line, named fields, WARC-Type, WARC-Record-ID, WARC-Date and Content-Length present, the
 latter equal to the bytes of the block, the block followed by two line ends and nothing else, and the payload's digest if there is one.
 Archives lie in any file system that pyarrow can open by URI, and each is one task's work: an archive of 1 GB, the usual size, is
-read in pieces, and only one record is held at a time.
+read in pieces and decoded block by block, and only one record is held at a time, of at most MOST_RECORD_BYTES.
 
-Defined results: an empty archive has no record; a frame that can't be decoded, or is cut off, gives one row whose `error` says so, and
-reading ends there; a record that fails a check gives a row with its error and reading goes on with the next; an archive without a
+Defined results: an empty archive has no record; a frame that can't be decoded, or is cut off, and a dictionary that can't be read give one
+row whose `error` says so, and reading ends there; a record of more than MOST_RECORD_BYTES is passed over, with a row that says so; a record that fails a check gives a row with its error and reading goes on with the next; an archive without a
 leading skippable frame is read without dictionary; other skippable frames are passed over. The writer makes a record of every row: a
 null url or html is written as an empty one, and read as such; repeated rows are records of their own; an empty table makes no
 archive; other columns are ignored.
@@ -36,7 +36,7 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_BYTES = 4 << 20
 ARCHIVE_BYTES = 256 << 20
-MOST_RECORD_BYTES = 1 << 31
+MOST_RECORD_BYTES = 1 << 28
 _PIECE = 1 << 20
 _DATE = datetime(2024, 1, 1, tzinfo=UTC)
 _SCHEMA = "archive string, position long, record_type string, record_id string, target_uri string, date string, content_length long, payload string, error string"
@@ -93,61 +93,86 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def frames(stream) -> Iterator[tuple[int, bytes]]:
-    """(position, content) of each record's frame of an archive."""
+def frames(stream, most: int = MOST_RECORD_BYTES) -> Iterator[tuple[int, bytes | None]]:
+    """(position, content) of each record's frame of an archive; None for one of more than `most` bytes."""
     held, position, dictionary, leading = bytearray(), 0, None, True
 
-    def need(n: int) -> bool:
+    def need(n: int):
         while len(held) < n:
             piece = stream.read(max(_PIECE, n - len(held)))
             if not piece:
-                return False
+                raise Broken(f"{position}: the archive ends within a frame")
             held.extend(piece)
-        return True
 
-    while need(1):
-        if not need(4):
-            raise Broken(f"{position}: the archive ends within a frame")
+    while held or (piece := stream.read(_PIECE)):
+        if not held:
+            held.extend(piece)
+        need(4)
         magic = int.from_bytes(held[:4], "little")
         if magic in SKIPPABLE:
-            if not need(8) or not need(size := 8 + int.from_bytes(held[4:8], "little")):
-                raise Broken(f"{position}: the archive ends within a frame")
+            need(8)
+            size = 8 + int.from_bytes(held[4:8], "little")
+            need(size)
             if leading and magic == DICTIONARY_MAGIC:
                 content = bytes(held[8:size])
-                if content[:4] == FRAME_MAGIC.to_bytes(4, "little"):
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                dictionary = zstandard.ZstdCompressionDict(content)
+                try:
+                    if content[:4] == FRAME_MAGIC.to_bytes(4, "little"):
+                        content = zstandard.ZstdDecompressor().decompress(content, max_output_size=most)
+                    dictionary = zstandard.ZstdCompressionDict(content)
+                except zstandard.ZstdError as e:
+                    raise Broken(f"{position}: the dictionary: {e}") from None
             del held[:size]
             position += size
         elif magic == FRAME_MAGIC:
-            decoder = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-            out, used = [], 0
             try:
-                while True:
-                    piece = bytes(held)
-                    out.append(decoder.decompress(piece))
-                    if decoder.eof:
-                        used += len(piece) - len(decoder.unused_data)
-                        del held[: len(piece) - len(decoder.unused_data)]
-                        break
-                    used += len(piece)
-                    held.clear()
-                    if not need(1):
-                        raise Broken(f"{position}: the archive ends within a frame")
+                used, content = _frame(held, need, dictionary, most)
             except zstandard.ZstdError as e:
                 raise Broken(f"{position}: {e}") from None
-            yield position, b"".join(out)
+            yield position, content
             position += used
         else:
             raise Broken(f"{position}: not a frame")
         leading = False
 
 
-def read_records(stream, archive: str) -> Iterator[tuple]:
+def _frame(held: bytearray, need, dictionary, most: int) -> tuple[int, bytes | None]:
+    """Take a frame off `held`, a block of at most 128 KiB of content at a time. (its bytes, its content, or None if that is more than `most`)."""
+    need(6)
+    if len(held) < 18:
+        try:
+            need(18)
+        except Broken:  # the last frame may be as short
+            pass
+    header = bytes(held[: zstandard.frame_header_size(bytes(held[:18]))])
+    decoder = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
+    checksum = zstandard.get_frame_parameters(bytes(held[:18])).has_checksum
+    out, size, used, last = [decoder.decompress(header)], 0, len(header), False
+    del held[:used]
+    while not last:
+        need(3)
+        head = int.from_bytes(held[:3], "little")
+        last, kind, n = head & 1, head >> 1 & 3, head >> 3
+        n = 3 + (1 if kind == 1 else n) + (4 if last and checksum else 0)
+        need(n)
+        if size <= most:
+            out.append(decoder.decompress(bytes(held[:n])))
+            size += len(out[-1])
+            if size > most:
+                out = []
+        del held[:n]
+        used += n
+    if size <= most and not decoder.eof:
+        raise zstandard.ZstdError("the frame doesn't end with its last block")
+    return used, b"".join(out) if size <= most else None
+
+
+def read_records(stream, archive: str, most: int = MOST_RECORD_BYTES) -> Iterator[tuple]:
     """A row of read_archives() for each record."""
     try:
-        for position, data in frames(stream):
+        for position, data in frames(stream, most):
             try:
+                if data is None:
+                    raise ValueError(f"a record of more than {most} bytes")
                 f, block = parse_record(data)
                 payload = block.decode("utf-8")
             except UnicodeDecodeError:
@@ -180,7 +205,7 @@ def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
                     if rows:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, len(uris)), "uri")
+    listed = spark.createDataFrame([(u,) for u in uris], "uri string").coalesce(1).repartition(max(1, len(uris)))  # in turn: one to a task
     return listed.mapInArrow(work, _SCHEMA)
 
 
