@@ -305,7 +305,7 @@ Public-Domain | 40 | in the public domain | \bin the public domain\b
 Proprietary | 60 | all rights reserved | \ball rights reserved\b
 Proprietary | 60 | proprietary and confidential | \bproprietary and confidential\b
 Proprietary | 60 | unauthorized copying of this file | unauthorized copying of this file,? via any medium,? is strictly prohibited
-SPDX-tag | 99 | spdx-license-identifier | spdx-license-identifier: ?\(?[a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*\)?
+SPDX-tag | 99 | spdx-license-identifier | spdx-license-identifier: ?[a-z0-9.+()-]+(?: (?:and|or|with) [a-z0-9.+()-]+)*
 Copyright-notice | 20 | copyright | \bcopyright (?:\(c\) |© )?(?:19|20)\d\d\b
 Warranty-disclaimer | 20 | without warranty of any kind | (?:provided )?"?as is"?,? without warranty of any kind
 """
