@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -129,17 +130,59 @@ def sentence_lengths(t):
 
 
 def brute_windows(rows, window=packing.WINDOW, shard=packing.SHARD):
-    """(doc_ids, starts, ends) of the windows of rows with distinct doc_ids, with the quadratic dynamic programme's cost checked."""
-    out = []
-    rows = sorted((r for r in rows if sentence_lengths(r["text"])), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
-    for _, own in itertools.groupby(rows, key=lambda r: None if r["doc_id"] is None else r["doc_id"] // shard):
-        docs = [(r["doc_id"], sentence_lengths(r["text"])) for r in own]
-        for n, ids, starts, ends in packing.pack_shard(docs, window):
-            assert n == sum(ends) - sum(starts) <= window
-            out.append((tuple(ids), tuple(starts), tuple(ends)))
+    """(doc_ids, starts, ends) of the windows of rows with distinct doc_ids, by the quadratic dynamic programme over each shard's cuts."""
+    out, at = [], 0
+    rows = sorted(((r["doc_id"], sentence_lengths(r["text"])) for r in rows if sentence_lengths(r["text"])), key=lambda r: (r[0] is not None, r[0] or 0))
+    shards = {}
+    for d, lengths in rows:
+        shards.setdefault(at // shard, []).append((d, lengths))
+        at += sum(lengths)
+    for docs in shards.values():
+        cuts = [(0, 0.0)]  # words before it, cost
+        starts = {}
+        for d, lengths in docs:
+            starts[d] = cuts[-1][0]
+            for n in lengths:
+                while n > window:
+                    cuts.append((cuts[-1][0] + window, packing.HARD))
+                    n -= window
+                cuts.append((cuts[-1][0] + n, packing.SENTENCE))
+            cuts[-1] = (cuts[-1][0], 0.0)
+        f, came, low = [0.0], [0], 0
+        for j in range(1, len(cuts)):
+            while cuts[j][0] - cuts[low][0] > window:
+                low += 1
+            f.append(min(f[i] + window - (cuts[j][0] - cuts[i][0]) + cuts[j][1] for i in range(low, j)))
+            came.append(next(i for i in range(low, j) if f[i] + window - (cuts[j][0] - cuts[i][0]) + cuts[j][1] == f[j]))
+        ends, j = [], len(cuts) - 1
+        while j:
+            ends.append((cuts[came[j]][0], cuts[j][0]))
+            j = came[j]
+        order = [(d, starts[d], starts[d] + sum(lengths)) for d, lengths in docs]
+        for lo, hi in reversed(ends):
+            part = [(d, max(lo, s) - s, min(hi, e) - s) for d, s, e in order if s < hi and e > lo]
+            out.append(tuple(map(tuple, zip(*part))))
     return out
 
 
+@pytest.mark.parametrize("factor", [1, 1 << 30])
+def test_windows_are_those_of_brute_force_whatever_the_ids(spark, factor):
+    rng = random.Random(17)
+    texts = [" ".join(sentence(rng, rng.choice([1, 3, 8, 20, 50, 90])) for _ in range(rng.randint(1, 6))) for _ in range(200)]
+    docs = spark.createDataFrame([row(i * factor, t) for i, t in enumerate(texts)] + [row(None, sentence(rng)), row(5 * factor + 1 if factor > 1 else 1000, None)], SCHEMA)
+    for window, shard in ((64, 1500), (64, 1 << 22), (128, 5000)):
+        got = packing.pack(docs, window=window, shard=shard).orderBy("shard", "window").collect()
+        assert [(tuple(r["doc_ids"]), tuple(r["starts"]), tuple(r["ends"])) for r in got] == brute_windows(docs.collect(), window, shard)
+        assert len({r["shard"] for r in got}) > 5 or shard > 5000 or window == 128
+
+
+def test_packing_of_ids_that_are_strings(spark):
+    docs = spark.createDataFrame([(f"d{i:03}", "One two three. Four five.") for i in range(50)] + [(None, "x")], "doc_id string, text string")
+    got = packing.pack(docs, window=16, shard=100).orderBy("shard", "window").collect()
+    order = [d for r in got for d in r["doc_ids"]]
+    assert order[0] is None and order[1:] == sorted(order[1:]) and set(order[1:]) == {f"d{i:03}" for i in range(50)}
+
+
 def test_packing_holds_every_word_in_order(spark, hard, empty):
     for window in (16, packing.WINDOW):
         got = packing.pack(hard, window=window).orderBy("shard", "window").collect()
@@ -171,13 +214,38 @@ def test_overlaps_are_resolved():
     assert found("This work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0-only"]
     assert found("under CC BY-NC-SA 4.0 or the MIT License") == ["CC-BY-NC-SA-4.0", "MIT"]
     assert found("GNU Affero General Public License v3") == ["AGPL-3.0-only"]
-    assert found("SPDX-License-Identifier: MIT OR Apache-2.0") == ["SPDX-tag"]
+    names = lambda t: [n for n, *_ in licenses.detections(t)]
+    assert found("SPDX-License-Identifier: MIT OR Apache-2.0") == ["SPDX-tag"] and names("x SPDX-License-Identifier: MIT OR Apache-2.0.") == ["MIT", "Apache-2.0"]
+    assert [n.lower() for n in names("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND xyz-1.0")] == ["gpl-2.0-only", "classpath-exception-2.0", "xyz-1.0"]
     assert found("no licence here") == found("") == licenses.scan_text(None) == []
     t = licenses.normalise("licensed under cc by-nc 4.0, gplv3+, BSD Zero Clause and the openrail-m licence")
     everything = [(i, m.start(), m.end()) for i, r in enumerate(licenses.RULES) for m in re.finditer(r[3], t)]
     assert licenses.resolve(everything) == licenses.scan_text(t)
 
 
+def plain_resolve(found):
+    """Each candidate against all that are taken."""
+    kept = []
+    for rule, start, end in sorted(set(found), key=lambda f: (-licenses.RULES[f[0]][1], f[1] - f[2], f[1], f[0])):
+        higher = [k for k in kept if licenses.RULES[k[0]][1] > licenses.RULES[rule][1]]
+        if not any(s <= start and end <= e for _, s, e in kept) and not any(start <= s and e <= end for _, s, e in higher):
+            kept.append((rule, start, end))
+    return sorted(kept, key=lambda f: (f[1], f[2], f[0]))
+
+
+def test_overlaps_against_all_pairs():
+    rng = random.Random(18)
+    for _ in range(500):
+        found = [(rng.randrange(len(licenses.RULES)), s, s + rng.randint(1, 12)) for s in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))]
+        assert licenses.resolve(found) == plain_resolve(found)
+
+
+def test_very_long_texts_of_detections():
+    t = "licensed under cc by 4.0. " * 40_000
+    began = time.time()
+    assert len(licenses.scan_text(t)) == 40_000 and time.time() - began < 20
+
+
 def test_licenses_without_a_prefilter(spark, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: [(d["rule"], d["start"], d["end"]) for d in r["detections"]] for r in licenses.scan(docs).collect()}

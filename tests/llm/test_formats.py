@@ -1,7 +1,9 @@
 """WARC, HTML and JPEG."""
 
 import io
+import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -52,6 +54,22 @@ def test_faults_are_told():
     assert list(warc.read_records(io.BytesIO(b""), "a")) == []
 
 
+def test_dictionaries_that_cant_be_read_are_told():
+    good = warc.record_bytes("resource", "http://x", b"hello", "1")
+    frame = zstandard.ZstdCompressor().compress(b"dictionary " * 50)
+    for bad in (frame[:-5], frame[:9] + b"\xff" * 9 + frame[18:], b"\x28\xb5\x2f\xfd"):
+        data = warc.DICTIONARY_MAGIC.to_bytes(4, "little") + len(bad).to_bytes(4, "little") + bad + zstandard.ZstdCompressor().compress(good)
+        rows = list(warc.read_records(io.BytesIO(data), "a"))
+        assert len(rows) == 1 and "dictionary" in rows[0][-1]
+
+
+def test_records_beyond_the_bound_are_passed_over():
+    records = [warc.record_bytes("resource", "http://x", b"ab" * n, str(n)) for n in (10, 2_000_000, 20)]
+    for d in (True, False):
+        rows = list(warc.read_records(io.BytesIO(archive(records, d)), "a", 1 << 20))
+        assert [r[-1] for r in rows] == [None, "a record of more than 1048576 bytes", None] and len(rows[2][7]) == 40
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul>%s</ul></nav>
 <div><p>%s</p><p>%s</p><p>%s</p></div><footer><a href=x>a</a> <a href=y>b</a></footer></body></html>""" % ("".join(f"<li><a href=/{i}>{i}</a></li>" for i in range(20)), "First words of the text. " * 12, "Second &amp; more. " * 20, "Third. " * 40)
 
@@ -86,6 +104,80 @@ def test_hard_pages(spark):
     assert html_extract.extract_content(spark.createDataFrame([], PAGES)).count() == 0
 
 
+class Plain(HTMLParser):
+    """Events of a well-formed page, as a list."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.events = []
+
+    def handle_starttag(self, tag, attrs):
+        self.events.append(("s", tag))
+
+    def handle_startendtag(self, tag, attrs):
+        self.events.append(("s", tag))
+
+    def handle_endtag(self, tag):
+        self.events.append(("e", tag))
+
+    def handle_data(self, data):
+        self.events.append(("d", data))
+
+
+def brute_content(page):
+    """Content of a well-formed page, line by line from the list of its events, with the smoothing and the threshold written out."""
+    p = Plain()
+    p.feed(page)
+    p.close()
+    lines, silent = [["", 0]], 0
+    for kind, x in p.events:
+        block = kind != "d" and x in html_extract.BLOCKS
+        if kind == "d":
+            if not silent:
+                for k, part in enumerate(x.split("\n")):
+                    if k:
+                        lines.append(["", 0])
+                    lines[-1][0] += part
+            continue
+        if x in html_extract.SILENT:
+            silent += 1 if kind == "s" else -1
+        if block and kind == "s":
+            lines.append(["", 0])
+        lines[-1][1] += 1
+        if block and kind == "e":
+            lines.append(["", 0])
+    return lines
+
+
+def test_content_is_that_of_brute_force(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        p = html_extract.Lines()
+        p.feed(page)
+        p.close()
+        lines = [(" ".join(t.split()), n) for t, n in brute_content(page) if t or n]
+        assert list(zip(p.texts, p.tags)) == lines
+        x = [len(t) / max(1, n) for t, n in lines]
+        even = []
+        for i in range(len(x)):
+            w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 3), min(len(x), i + 4))}
+            even.append(sum(x[j] * k for j, k in w.items()) / sum(w.values()))
+        mean = sum(even) / len(even)
+        least = math.sqrt(sum((e - mean) ** 2 for e in even) / len(even))
+        chosen = [e >= least for e in even]
+        got = html_extract.extract(page)
+        assert got[0] == "\n".join(t for (t, _), c in zip(lines, chosen) if c and t)
+        assert got[1:] == (sum(c and not (i and chosen[i - 1]) for i, c in enumerate(chosen)), len(lines))
+
+
+def test_unclosed_silent_elements_silence_nothing():
+    words = "Words after it. " * 50
+    for tag in ("noscript", "template"):
+        for page in (f"<body><{tag}><p>{words}</p></body>", f"<body><div><{tag}>x</div><p>{words}</p></body>", f"<body><{tag}><p>{words}", f"<{tag}><p>a</p><{tag}>no</{tag}><p>{words}</p>"):
+            assert words.strip() in html_extract.extract(page)[0]
+        assert "hidden" not in html_extract.extract(f"<p>{words}</p><{tag}><p>hidden</p></{tag}><p>{words}</p>")[0]
+
+
 def test_thumbnails_give_back_the_levels():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -146,12 +146,45 @@ def test_dual_descent_reaches_the_optimum():
     assert all(value(w + 0.01 * rng.normal(size=7)) >= best - 1e-6 for _ in range(300))
 
 
+def brute_features(t):
+    w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+    return set(w) | set(zip(w, w[1:]))
+
+
 def test_features_are_distinct_words_and_pairs():
-    place, at = nbsvm.features(pa.array(["a b a b", None, "b"]))
-    assert np.diff(at).tolist() == [4, 0, 1]
+    h, rows = nbsvm.hashes(pa.array(["a b a b", None, "b"]))
+    assert len(h) == 8 and rows.tolist() == [0] * 4 + [2] + [0] * 3
+    held = text.HashArrays(np.unique(h))
+    place, at = nbsvm.features(pa.array(["a b a b", None, "b", "x y"]), held)
+    assert np.diff(at).tolist() == [4, 0, 1, 0]
     assert all((np.diff(place[i:j]) > 0).all() for i, j in zip(at, at[1:]))
 
 
+def test_margins_are_those_of_dictionaries(spark, hard, labels):
+    for limit in (None, 0):
+        got = {(r["doc_id"], r["margin"]) for r in nbsvm.classify(hard, labels, limit=limit).collect()}
+        label = {}
+        for r in labels.collect():
+            if r["doc_id"] is not None and r["quality"] is not None:
+                label[r["doc_id"]] = max(label.get(r["doc_id"], 0), r["quality"])
+        rows = [r for r in hard.collect() if r["doc_id"] in label and r["text"] is not None]
+        md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+        sample = [min((md5(r["text"]), r["text"]) for r in rows if r["doc_id"] == d)[1] for d in sorted({r["doc_id"] for r in rows}, key=md5)]
+        y = np.array([1 if label[d] else -1 for d in sorted({r["doc_id"] for r in rows}, key=md5)])
+        seen = Counter(f for t in sample for f in brute_features(t))
+        vocabulary = [f for f, k in seen.items() if k >= nbsvm.HELD]
+        n = {c: Counter(f for r in rows if label[r["doc_id"]] == c for f in brute_features(r["text"])) for c in (0, 1)}
+        r = nbsvm.ratios(np.array([n[1][f] for f in vocabulary], float), np.array([n[0][f] for f in vocabulary], float))
+        at = {f: i for i, f in enumerate(vocabulary)}
+        places = lambda t: np.array(sorted(at[f] for f in brute_features(t) if f in at), int)
+        x = [places(t) for t in sample]
+        cost = np.array([len(y) / (2 * (y == c).sum()) for c in y])
+        w = nbsvm.dual_descent(x, [nbsvm._unit(r[p]) for p in x], y, cost, len(vocabulary))
+        for d, m in got:
+            texts = [q["text"] for q in hard.collect() if q["doc_id"] == d]
+            assert any(abs(m - (nbsvm._unit(r[places(t)]) @ w[:-1][places(t)] + w[-1])) < 1e-4 for t in texts), (d, m)
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(6)
     junk = lambda: " ".join(rng.choice(["buy", "click", "cheap", "now", "win"]) for _ in range(50))
