@@ -31,6 +31,8 @@ ORDER = 5
 LOW = 5.0
 HIGH = 5.0
 _BLOCK = 1 << 19
+#: Bytes of texts that ask for their n-grams together where the arrays are in parts.
+BLOCK_BYTES = 8 << 20
 _COUNTS = "lang string, gram string, c long"
 
 
@@ -265,42 +267,84 @@ def _score_batch(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.nd
 
 
 class Scores:
-    """How documents are scored: by sorted hash arrays that every worker holds, or, where those are too large, by a join."""
+    """How documents are scored: by sorted hash arrays that every worker holds or, where those are too large, by parts of the arrays.
+
+    The arrays of the longest n-grams, which hold every n-gram of the documents counted, are then cut by the leading bits of the hash into
+    parts of at most `limit` bytes. The texts are taken in blocks of about BLOCK_BYTES; a block asks each part once for all its distinct
+    n-grams, and what comes back is put together with its texts. So no worker holds more than a part, and what is shuffled beside
+    the texts is 8 bytes there and back for each distinct n-gram of a block, not for each of a text.
+    """
 
     def __init__(self, docs: DataFrame, n: int = ORDER, limit: int | None = None):
         spark, self.n = docs.sparkSession, n
         self.table = storage.cut(model_table(storage.cut(count_ngrams(docs, n)), n))
-        self.shared = None
-        if self.table.count() * 24 <= (storage.BROADCAST_BYTES if limit is None else limit):
-            self.shared = storage.new_folder(spark, "ngrams")
+        size, limit = self.table.count() * 24, storage.BROADCAST_BYTES if limit is None else limit
+        self.bits = 0 if size <= limit else max(1, int(np.ceil(np.log2(size / limit)))) if limit else 2
+        self.shared = storage.new_folder(spark, "ngrams")
+        if self.bits:
+            rows = _hashed(self.table.where(F.col("m") == n)).withColumn("part", F.shiftrightunsigned("key", 64 - self.bits).cast("int"))
+            rows.repartition(1 << self.bits, "part").write.partitionBy("part").parquet(self.shared)
+        else:
             _hashed(self.table).sort(F.col("key") < 0, "key").write.parquet(self.shared)
 
-    def by_join(self, docs: DataFrame) -> DataFrame:
+    def by_parts(self, docs: DataFrame) -> DataFrame:
         """(lang, key, n, s, q) of each distinct text; key is its hash. The documents must be those that were counted."""
-        n = self.n
+        n, bits, folder, spark = self.n, self.bits, self.shared, docs.sparkSession
+        d = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("key")).where("text is not null")
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        d = d.withColumn("block", F.pmod(F.xxhash64("lang", "key"), F.lit(size // BLOCK_BYTES + 1)))
+
+        def hashes(t: pa.Table):
+            """(language, rows, hashes of the windows in one row each, the rows' offsets into them) in turn, and all distinct hashes."""
+            out = []
+            for lang, rows, block in _by_lang(t.select(["lang", "text"]).combine_chunks().to_batches()[0]):
+                points, at = text.code_points(block)
+                size = max(0, len(points) - n + 1)
+                keep = _valid(at, size, n)
+                h = _gram_hash([points[i : size + i] for i in range(n)], text.seed_of(lang), n)[keep] if size else np.zeros(0, text.U64)
+                out.append((lang, rows, h, np.concatenate([[0], np.cumsum(keep)])[np.minimum(at, size)]))
+            return out, np.unique(np.concatenate([h for _, _, h, _ in out])) if out else np.zeros(0, text.U64)
+
+        def ask(t: pa.Table) -> pa.Table:
+            text.trim()
+            distinct = hashes(t)[1]
+            cuts = np.searchsorted(distinct >> text.U64(64 - bits), np.arange((1 << bits) + 1, dtype=text.U64))
+            some = np.flatnonzero(np.diff(cuts))
+            return pa.table({"block": pa.array([t["block"][0].as_py()] * len(some), pa.int64()), "part": pa.array(some.astype(np.int32)), "grams": pa.array([distinct[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
 
-        def work(batches):
+        def answer(batches):
             text.trim()
             for batch in batches:
-                texts, keys = text.strings(batch.column("text")), batch.column("key")
-                for i in range(batch.num_rows):
-                    points, at = text.code_points(texts.slice(i, 1))
-                    counter = _Counter(n)
-                    lang = batch.column("lang")[i].as_py()
-                    for part in [*counter.add(lang, points, at), *counter.flush()]:
-                        yield pa.record_batch([part["lang"], pa.array(np.full(part.num_rows, keys[i].as_py())), part["gram"], part["c"]], names=["lang", "key", "gram", "c"])
+                out = []
+                for part, grams in zip(batch.column("part").to_pylist(), batch.column("grams").to_pylist()):
+                    arrays = storage.held(f"{folder}/part={part}", lambda t: text.HashArrays(t["key"].to_numpy().view(text.U64), logp=t["logp"].to_numpy()))
+                    out.append(arrays.values["logp"][arrays.find(np.frombuffer(grams, text.U64))].tobytes())
+                yield pa.record_batch([batch.column("block"), batch.column("part"), pa.array(out, pa.binary())], names=["block", "part", "logp"])
 
-        grams = docs.select("lang", "text", F.xxhash64("text").alias("key")).dropDuplicates(["lang", "key"]).mapInArrow(work, "lang string, key long, gram string, c long")
-        model = self.table.where(F.col("m") == n).select(F.col("lang").alias("ml"), F.col("gram").alias("mg"), "logp")
-        both = grams.join(model, F.col("lang").eqNullSafe(F.col("ml")) & (F.col("gram") == F.col("mg")))
-        return both.groupBy("lang", "key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("logp")).alias("s"), F.sum(F.col("c") * F.col("logp") ** 2).alias("q"))
+        def total(t: pa.Table, answers: pa.Table) -> pa.Table:
+            text.trim()
+            parts, distinct = hashes(t)
+            logp = np.frombuffer(b"".join(answers.sort_by("part")["logp"].to_pylist()), float)
+            sums = np.zeros((3, t.num_rows))
+            for _, rows, h, at in parts:
+                x = logp[np.searchsorted(distinct, h)]
+                for i, v in enumerate((np.ones(len(x)), x, x * x)):
+                    sums[i, rows] = text.row_sums(v, at)
+            out = pa.table({"lang": t["lang"], "key": t["key"], "n": sums[0].astype(np.int64), "s": sums[1], "q": sums[2]}).combine_chunks()
+            once = list({(a, b): i for i, (a, b) in enumerate(zip(out["lang"].to_pylist(), out["key"].to_pylist()))}.values())
+            return out.take(pa.array(once, pa.int64()))
+
+        spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) >> bits)
+        asked = d.groupBy("block").applyInArrow(ask, "block long, part int, grams binary")
+        answers = asked.repartition(spread << bits, "part", F.pmod("block", F.lit(spread))).sortWithinPartitions("part").mapInArrow(answer, "block long, part int, logp binary")
+        return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, "lang string, key long, n long, s double, q double")
 
 
 def score(docs: DataFrame, scores: Scores) -> DataFrame:
     """(doc_id, lang, n, s, q): n-grams, sum of log-probabilities and of squares of each row."""
-    if scores.shared is None:
-        rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("key"))
-        by = scores.by_join(docs).select(F.col("lang").alias("sl"), F.col("key").alias("sk"), "n", "s", "q")
+    if scores.bits:
+        rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
+        by = scores.by_parts(docs).select(F.col("lang").alias("sl"), F.col("key").alias("sk"), "n", "s", "q")
         joined = rows.join(by, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("key") == F.col("sk")), "left")
         return joined.select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
@@ -341,15 +385,17 @@ def quality_rules(docs: DataFrame, n: int = ORDER, low: float = LOW, high: float
 def filter_documents(docs: DataFrame, n: int = ORDER, low: float = LOW, high: float = HIGH, limit: int | None = None) -> DataFrame:
     """The rows of docs that quality_rules() keeps, with all their columns."""
     scores = Scores(docs, n, limit)
-    scored = score(docs, scores)
-    b = bands(scored)
-    if scores.shared is None:
-        names = docs.columns
-        tag = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("lang").alias("lang"), F.xxhash64("text").alias("key"))
-        by = scores.by_join(docs).select(F.col("lang").alias("sl"), F.col("key").alias("sk"), "n", "s")
-        d = tag.join(by, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("key") == F.col("sk")), "left").join(F.broadcast(b.withColumnRenamed("lang", "bl")), F.col("lang").eqNullSafe(F.col("bl")), "left")
+    if scores.bits:
+        by = storage.table(scores.by_parts(docs), "scores")
+        texts = docs.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
+        scored = texts.join(by.withColumnsRenamed({"lang": "sl", "key": "sk"}), F.col("lang").eqNullSafe(F.col("sl")) & (F.col("key") == F.col("sk")))
+        b = bands(scored).withColumnRenamed("lang", "bl")
+        by = by.join(F.broadcast(b), F.col("lang").eqNullSafe(F.col("bl")))
         half, x = F.col("spread") + F.col("sigma") / F.sqrt("n"), -F.col("s") / F.col("n")
-        return d.where(F.coalesce((x >= F.col("median") - low * half) & (x <= F.col("median") + high * half), F.lit(True))).select("row.*")
+        bad = by.where("n > 0").where((x < F.col("median") - low * half) | (x > F.col("median") + high * half)).select(F.col("lang").alias("sl"), F.col("key").alias("sk"))
+        row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"))
+        return row.join(bad, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("key") == F.col("sk")), "left_anti").select("row.*")
+    b = bands(score(docs, scores))
     band = {r["lang"]: (r["median"], r["spread"], r["sigma"]) for r in b.collect()}  # a row a language
     at, shared = (docs.columns.index("lang"), docs.columns.index("text")), scores.shared
 
