@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strata.llm import bpe, jaccard_join, licenses, packing, quality_rules, toxicity
@@ -56,6 +58,30 @@ def test_blocks_only_divide_the_work(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
 
 
+def test_shuffled_tasks_and_ids_that_are_strings(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [t for _ in range(4) for t in near_copies(rng, 10, 0.03)]
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    want = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+    assert len(want) > 100 and set(want) <= {(a, b, j) for a, b, j in brute_pairs(docs.collect())}
+    assert sorted(r["doc_id"] for r in jaccard_join.remove_near_duplicates(docs).collect()) == ["d00", "d10", "d20", "d30"]
+    monkeypatch.setattr(jaccard_join, "IDS", 0)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
+
+
+def test_the_union_bounds_every_overlap():
+    rng = np.random.default_rng(20)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 60, 20).astype(np.uint64) << np.uint64(32)) for _ in range(6)]
+        short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+        rows = lambda k, some: [{"task": 1, "sig": i, "kind": k, "tokens": short[i]} for i in some]
+        column = jaccard_join._union(pa.Table.from_pylist(rows(0, range(3))))["tokens"][0].as_py()
+        got = jaccard_join._bound(0.5)(pa.Table.from_pylist([{"task": 1, "sig": None, "kind": 0, "tokens": column}, *rows(2, range(3, 6))]))["sig"].to_pylist()
+        union = set(np.concatenate(sets[:3]).tolist())
+        assert got == [i for i in range(3, 6) if len(union & set(sets[i].tolist())) >= 0.5 * len(sets[i])]
+        assert set(got) >= {i for i in range(3, 6) for j in range(3) if 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))}
+
+
 def brute_keep(rows):
     """Rows that stay: of each group that pairs connect the least doc_id; rows without id or words."""
     own = sorted({(r["doc_id"], shingles(r["text"])) for r in rows if r["doc_id"] is not None and shingles(r["text"])}, key=lambda x: (x[0], sorted(x[1])))
