@@ -1,4 +1,4 @@
-"""python -m strata a ARCHIVE PATH... | x ARCHIVE FOLDER, with --level, --password, --no-filter, --threads and --no-solid."""
+"""python -m strata a ARCHIVE PATH... | x ARCHIVE FOLDER, with --level, --backend, --password, --no-filter, --threads, --no-solid and --no-dedup."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("archive")
     p.add_argument("paths", nargs="+")
     p.add_argument("--level", type=int, choices=range(10), default=3)
+    p.add_argument("--backend", choices=("zstd", "zlib", "lzma"), help="compressor instead of the level's own")
     p.add_argument("--password")
     p.add_argument("--no-filter", action="store_true")
     p.add_argument("--no-solid", action="store_true")
@@ -30,7 +31,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.master(f"local[{o.threads or '*'}]").config("spark.ui.enabled", "false").getOrCreate()
     try:
         if o.verb == "a":
-            options = dataclasses.replace(Options.of_level(o.level, o.password, not o.no_filter))
+            options = dataclasses.replace(Options.of_level(o.level, o.password, not o.no_filter, o.backend))
             options = dataclasses.replace(options, solid=options.solid and not o.no_solid, dedup=options.dedup and not o.no_dedup)
             archive.create_archive(files.scan(spark, o.paths, skip=(o.archive,)), o.archive, options)
         else:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions import filters
+
+STRIDES = (1, 2, 4, 8, 16)
+#: What a finer alignment must save, in bits a byte, to be chosen.
+PENALTIES = (0.0, 0.05, 0.10, 0.30, 0.60)
+
 
 def histogram(df: DataFrame, group: str, payload: str) -> DataFrame:
     """(group, byte, n) over all bytes of each group; tasks count in numpy before anything is shuffled."""
@@ -32,23 +38,49 @@ def entropy(counts: DataFrame, group: list[str], n: str = "n") -> DataFrame:
     return counts.join(total, group).groupBy(*group).agg(F.sum(n).alias("n_bytes"), (-F.sum(p * F.log2(p)) + F.lit(0.0)).alias("entropy"))
 
 
-def bytes_at(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, pos, byte): a row for each byte."""
-    h = F.regexp_extract_all(F.hex(F.col(payload).cast("binary")), F.lit("(..)"), F.lit(1))
-    return df.select(key, F.posexplode(h).alias("pos", "h")).select(key, "pos", F.conv("h", 16, 10).cast("int").alias("byte"))
+def _by_row(df: DataFrame, key: str, payload: str, of, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """key and the columns (name, Arrow type, Spark type) that of(bytes as numpy) gives, any number of rows for each row with a payload; no byte leaves its task."""
+
+    def work(batches):
+        for batch in batches:
+            rows, keys = [], []
+            for i, x in enumerate(batch.column(1)):
+                if x.is_valid:
+                    new = of(np.frombuffer(x.as_buffer(), np.uint8))
+                    rows += new
+                    keys += [i] * len(new)
+            yield pa.record_batch([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(columns))], names=[key, *(c for c, _, _ in columns)])
+
+    d = df.select(key, F.col(payload).cast("binary").alias("b"))
+    return d.mapInArrow(work, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, _, t in columns))
+
+
+def entropy_by_position(df: DataFrame, key: str, payload: str, strides=STRIDES) -> DataFrame:
+    """(key, k, entropy): mean over the residues of pos mod k, of those there are, of the entropy of their bytes. Rows without bytes have none."""
+    of = lambda x: [(k, filters.entropy_by_position(x, k)) for k in strides] if len(x) else []
+    return _by_row(df, key, payload, of, [("k", pa.int32(), "int"), ("entropy", pa.float64(), "double")])
+
+
+def alignment_choice(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, k, score): the alignment of least entropy by position with its penalty, rounded to 6 digits; ties go to the coarsest."""
+
+    def of(x):
+        scores = [round(round(filters.entropy_by_position(x, k), 6) + p, 6) for k, p in zip(STRIDES, PENALTIES)] if len(x) else []
+        return [(STRIDES[scores.index(min(scores))], min(scores))] if scores else []
+
+    return _by_row(df, key, payload, of, [("k", pa.int32(), "int"), ("score", pa.float64(), "double")])
+
+
+def stride_mode(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, stride, n) of filters.stride() and how often it occurs; 1 and 0 where no distance is counted."""
 
+    def of(x):
+        counts = filters.distances(x)
+        return [(int(counts.argmax()) if counts.any() else 1, int(counts.max()))]
 
-def entropy_by_position(df: DataFrame, key: str, payload: str, strides=(1, 2, 4, 8, 16)) -> DataFrame:
-    """(key, k, entropy): mean over the residues of pos mod k of the entropy of their bytes."""
-    b = bytes_at(df, key, payload).withColumn("k", F.explode(F.array(*(F.lit(k) for k in strides))))
-    counts = b.groupBy(key, "k", (F.col("pos") % F.col("k")).alias("residue"), "byte").agg(F.count("*").alias("n"))
-    return entropy(counts, [key, "k", "residue"]).groupBy(key, "k").agg(F.avg("entropy").alias("entropy"))
+    return _by_row(df, key, payload, of, [("stride", pa.int32(), "int"), ("n", pa.int64(), "long")])
 
 
-def stride_mode(df: DataFrame, key: str, payload: str, quarter: int = 1024) -> DataFrame:
-    """(key, stride, n): the most frequent distance, mod 256, to the previous equal byte of the same quarter; ties go to the least."""
-    b = bytes_at(df, key, payload).withColumn("q", F.expr(f"pos div {quarter}"))
-    d = b.withColumn("d", (F.col("pos") - F.lag("pos").over(Window.partitionBy(key, "q", "byte").orderBy("pos"))).bitwiseAND(255)).where("d > 0")
-    n = d.groupBy(key, "d").agg(F.count("*").alias("n"))
-    best = n.groupBy(key).agg(F.max(F.struct("n", (-F.col("d")).alias("m"))).alias("x"))
-    return best.select(key, (-F.col("x.m")).cast("int").alias("stride"), F.col("x.n").alias("n"))
+def literal_modes(df: DataFrame, key: str, payload: str, distance: int = 1) -> DataFrame:
+    """(key, mode): how each row's bytes are best coded as literals."""
+    return _by_row(df, key, payload, lambda x: [(filters.literal_mode(x, distance),)], [("mode", pa.string(), "string")])

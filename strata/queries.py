@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata import shared
-from strata.functions import bits, codecs
+from strata.functions import bits, codecs, crypto, filters, recency
 from strata.functions.checksums import crc16_column
 from strata.operators import chunking, dedup, layout, manifest, stats
 from strata.options import LEVELS, Options, memory_estimate
 from strata.plans import archive
+from strata.sources import files
 
 BLOCK = 65536
 
@@ -23,7 +27,7 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def _entries(spark: SparkSession, d: str, payload: bool = False) -> DataFrame:
     """documents as files: source is the folder, doc_id the name, lang the extension."""
-    path = F.concat_ws("", "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("."), "lang")
+    path = F.concat_ws("", "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("."), "lang")
     out = manifest.from_table(_read(spark, d, "documents"), path, F.col("text"), doc_id=F.col("doc_id"))
     return out if payload else out.drop("payload")
 
@@ -75,28 +79,25 @@ def byte_entropy_by_lang(spark, d):
     return stats.entropy(byte_histogram(spark, d), ["lang"]).select("lang", "n_bytes", F.round("entropy", 9).alias("entropy"))
 
 
-def _heads(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.substring("text", 1, 4096).alias("text"))
-
-
 def entropy_by_alignment(spark, d):
-    return stats.entropy_by_position(_heads(spark, d), "doc_id", "text").select("doc_id", "k", F.round("entropy", 6).alias("entropy"))
+    return stats.entropy_by_position(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "k", F.round("entropy", 6).alias("entropy"))
 
 
 def alignment_choice(spark, d):
-    """Position bits of least entropy with the penalties of finer ones, for each document's first 4096 characters."""
-    e = entropy_by_alignment(spark, d)
-    penalty = F.element_at(F.create_map(*(F.lit(x) for x in (1, 0.0, 2, 0.05, 4, 0.10, 8, 0.30, 16, 0.60))), F.col("k"))
-    return e.groupBy("doc_id").agg(F.min(F.struct(F.round(F.col("entropy") + penalty, 6).alias("score"), F.col("k"))).alias("x")).select("doc_id", F.col("x.k").alias("k"), F.col("x.score").alias("score"))
+    return stats.alignment_choice(_read(spark, d, "documents"), "doc_id", "text")
 
 
 def stride_mode(spark, d):
-    return stats.stride_mode(_heads(spark, d), "doc_id", "text")
+    return stats.stride_mode(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def literal_modes(spark, d):
+    return stats.literal_modes(_read(spark, d, "documents"), "doc_id", "text")
 
 
 def fixed_chunk_dedup(spark, d):
     c = chunking.fixed_chunks(_read(spark, d, "documents"), "doc_id", "text", 256).select("doc_id", "pos", F.length("chunk").cast("long").alias("length"), F.sha2("chunk", 256).alias("hash"))
-    c = c.withColumn("id", F.col("doc_id") * (1 << 32) + F.col("pos"))
+    c = c.withColumn("id", F.struct("doc_id", "pos"))
     first = dedup.first_occurrence(c, ["hash"], "id")
     return first.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count(F.when(F.col("original") < F.col("id"), 1)).alias("n_duplicates"), F.coalesce(F.sum(F.when(F.col("original") < F.col("id"), F.col("length"))), F.lit(0)).alias("duplicate_length"))
 
@@ -130,7 +131,7 @@ def cdc_chunks(spark, d):
 
 
 def cdc_dedup_ratio(spark, d):
-    c = cdc_chunks(spark, d).join(_read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("id", F.col("doc_id") * (1 << 32) + F.col("pos"))
+    c = cdc_chunks(spark, d).join(_read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("id", F.struct("doc_id", "pos"))
     big = dedup.first_occurrence(c.where(f"length >= {dedup.LEAST_CHUNK}"), ["hash", "length"], "id")
     return big.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_bytes"), F.sum(F.when(F.col("original") < F.col("id"), F.col("length")).otherwise(0)).alias("duplicate_bytes"))
 
@@ -213,6 +214,117 @@ def memory_estimates(spark, d):
     return spark.createDataFrame(rows, "level int, threads int, n_bytes long")
 
 
+def _path(spark, suffix: str = "") -> str:
+    return f"{shared.folder(spark).removeprefix('file:').replace('///', '/', 1)}/{uuid.uuid4().hex}{suffix}"
+
+
+def archive_entries(spark, d):
+    """What an archive of all documents says of its files: order, positions, sizes and permissions."""
+    path = _path(spark, ".stra")
+    archive.create_archive(_entries(spark, d, True).drop("doc_id"), path, Options(("zstd",), max_block=1 << 20))
+    return archive.read_entries(spark, path).select("path", "type", "size", "global_pos", bits.reverse_permissions(F.col("permissions")).alias("mode"))
+
+
+def _restored(spark, d) -> str:
+    path, folder = _path(spark, ".stra"), _path(spark)
+    archive.create_archive(_entries(spark, d, True).drop("doc_id"), path, Options(("delta", "zstd"), max_block=1 << 20))
+    archive.extract_archive(spark, path, folder)
+    return folder
+
+
+def _scanned(spark, folder: str) -> DataFrame:
+    return files.scan(spark, sorted(e.path for e in os.scandir(folder)))
+
+
+def restored_tree(spark, d):
+    """All documents as files: archived, extracted and scanned again, each folder of the top being a root."""
+    return _scanned(spark, _restored(spark, d)).select("path", "type", "size", F.when(F.col("type") == "f", bits.reverse_permissions(F.col("permissions"))).alias("mode"), F.when(F.col("type") == "f", F.unix_seconds("mtime")).alias("mtime"))
+
+
+def restored_halves(spark, d):
+    """Hash of the second half of each extracted file, by a positioned read of it."""
+    t = _scanned(spark, _restored(spark, d)).where("type = 'f'")
+    t = t.withColumn("begin", F.expr("size div 2")).withColumn("length", F.col("size") - F.col("begin"))
+    return files.read_ranges(t, ["path"]).select("path", F.sha2("data", 256).alias("hash"))
+
+
+def encrypted_archive(spark, d):
+    """All documents through archives with and without a password: what the header says, and the texts read back."""
+    out = []
+    for password in (None, "a test password"):
+        path, settings = _path(spark, ".stra"), {"rounds": 1000}
+        names = ("zstd", "aes256") if password else ("zstd",)
+        archive.create_archive(_entries(spark, d, True).drop("doc_id"), path, Options(names, password=password, max_block=1 << 20, settings=settings))
+        f = archive.read_files(spark, path, password, settings)
+        out.append(f.select(F.lit(archive.is_encrypted(path)).alias("encrypted"), F.regexp_extract("path", r"/0*(\d+)\.", 1).cast("long").alias("doc_id"), F.decode("data", "UTF-8").alias("text")))
+    return out[0].unionAll(out[1])
+
+
+def ctr_roundtrip(spark, d):
+    """Pages under this library's AES-256 in counter mode, and back; the sealed bytes have a counter of 16 bytes before them."""
+    context = codecs.Context(key=bytes(range(32)), nonce=b"a test nonce")
+    e = codecs.encode_column(_read(spark, d, "pages"), "page_id", "html", ("aes256",), context)
+    back = codecs.decode_column(e, "page_id", ("aes256",), context).withColumnRenamed("page_id", "p")
+    sealed = e.select("page_id", F.octet_length("payload").cast("long").alias("n_sealed"))
+    return sealed.join(back, F.col("page_id") == F.col("p")).select("page_id", "n_sealed", F.decode("data", "UTF-8").alias("html"))
+
+
+def derived_keys(spark, d):
+    """Key and its check of a password for each language, with 100 rounds."""
+    rows = _read(spark, d, "documents").select("lang").distinct()
+
+    def work(batches):
+        for batch in batches:
+            made = [crypto.derive(x or "", b"a test salt", 100) for x in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([k.hex() for k, _ in made]), pa.array([c.hex() for _, c in made])], names=["lang", "key", "check"])
+
+    return rows.mapInArrow(work, "lang string, key string, check string")
+
+
+def codec_bounds(spark, d):
+    """What each document can take at most under a chain, and whether it takes no more."""
+    names = ("delta", "zlib", "aes256")
+    e = codecs.encode_column(_read(spark, d, "documents"), "doc_id", "text", names, codecs.Context(key=bytes(32)))
+
+    def work(batches):
+        for batch in batches:
+            bounds = [codecs.bound_of(x[0], names) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(bounds), pa.array([x[-1] <= b for x, b in zip(batch.column(1).to_pylist(), bounds)])], names=["doc_id", "bound", "kept"])
+
+    return e.select("doc_id", "sizes").mapInArrow(work, "doc_id long, bound long, kept boolean")
+
+
+def filter_segments(spark, d):
+    """Bytes of each document in the segments that the filter makes of it, and whether it is restored."""
+
+    def work(batches):
+        for batch in batches:
+            data = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            coded = [filters.encode(x) for x in data]
+            yield pa.record_batch([batch.column(0), pa.array([sum(n for _, n in filters.segments(c)) for c in coded]), pa.array([filters.decode(c) == x for c, x in zip(coded, data)])], names=["doc_id", "n_bytes", "restored"])
+
+    return _read(spark, d, "documents").select("doc_id", "text").mapInArrow(work, "doc_id long, n_bytes long, restored boolean")
+
+
+def recency_places(spark, d):
+    """Each event's type as its place in its user's list of the three last used types, -1 where it isn't there; and whether the list gives it back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("event_id")
+        kinds = t["event_type"].to_pylist()
+        codes = recency.encode(kinds, 3)
+        return pa.table({"user_id": t["user_id"], "event_id": t["event_id"], "place": pa.array([p for p, _ in codes], pa.int32()), "restored": pa.array([a == b for a, b in zip(recency.decode(codes, 3), kinds)])})
+
+    return _read(spark, d, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInArrow(run, "user_id long, event_id long, place int, restored boolean")
+
+
+def windowed_references(spark, d):
+    """Content-defined chunks of the solid order that an equal chunk less than 64 KiB before them stands for."""
+    placed = layout.positions(manifest.solid_key(_entries(spark, d)), list(manifest.SOLID)).select(F.col("doc_id").alias("of"), "global_pos")
+    c = cdc_chunks(spark, d).join(placed, F.col("doc_id") == F.col("of")).select("doc_id", "pos", F.col("length").cast("long").alias("length"), "hash", (F.col("global_pos") + F.col("pos")).alias("global_pos"))
+    return dedup.mark_references(shared.cut(c), 65536).select("doc_id", "pos", "length", "global_pos", "original_pos")
+
+
 QUERIES = {
     "manifest_global_pos": manifest_global_pos,
     "block_map_solid": block_map_solid,
@@ -248,16 +360,26 @@ QUERIES = {
     "encrypted_roundtrip": encrypted_roundtrip,
     "archive_roundtrip": archive_roundtrip,
     "memory_estimates": memory_estimates,
+    "literal_modes": literal_modes,
+    "archive_entries": archive_entries,
+    "restored_tree": restored_tree,
+    "restored_halves": restored_halves,
+    "encrypted_archive": encrypted_archive,
+    "ctr_roundtrip": ctr_roundtrip,
+    "derived_keys": derived_keys,
+    "codec_bounds": codec_bounds,
+    "filter_segments": filter_segments,
+    "recency_places": recency_places,
+    "windowed_references": windowed_references,
 }
 
-_E = "e AS (SELECT doc_id, '.' || lang AS ext, lpad(doc_id::VARCHAR, 12, '0') || '.' || lang AS filename, source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.' || lang AS path, octet_length(encode(text))::BIGINT AS size FROM documents)"
+_E = "e AS (SELECT doc_id, '.' || lang AS ext, lpad(doc_id::VARCHAR, 20, '0') || '.' || lang AS filename, source || '/' || lpad(doc_id::VARCHAR, 20, '0') || '.' || lang AS path, octet_length(encode(text))::BIGINT AS size FROM documents)"
 _P = _E + ", p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY ext, filename, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_pos FROM e)"
 _B = _P + f", b AS (SELECT *, unnest(range(global_pos // {BLOCK}, (global_pos + size - 1) // {BLOCK} + 1)) AS block_id FROM p WHERE size > 0), m AS (SELECT block_id, doc_id, (greatest(global_pos, block_id * {BLOCK}) - global_pos)::BIGINT AS begin, (least(global_pos + size, (block_id + 1) * {BLOCK}) - greatest(global_pos, block_id * {BLOCK}))::BIGINT AS length, (greatest(global_pos, block_id * {BLOCK}) - block_id * {BLOCK})::BIGINT AS \"at\" FROM b)"
 _POINTS = f", pt AS (SELECT DISTINCT (block_id * {BLOCK})::BIGINT AS pos FROM m)"
 _HEX = "h AS (SELECT lang, doc_id, regexp_extract_all(hex(encode(text)), '..') AS x FROM {0})"
-_HEADS = "(SELECT lang, doc_id, substring(text, 1, 4096) AS text FROM documents)"
 _BY = "y AS (SELECT doc_id, i - 1 AS pos, x[i] AS byte FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM h))"
-_ALIGN = f"WITH {_HEX.format(_HEADS)}, {_BY}, k AS (SELECT doc_id, k::INT AS k, pos % k AS r, byte, count(*) AS n FROM y, unnest([1, 2, 4, 8, 16]) t(k) GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k, r) AS p FROM k), z AS (SELECT doc_id, k, r, -sum(p * log2(p)) + 0.0 AS entropy FROM s GROUP BY ALL), al AS (SELECT doc_id, k, round(avg(entropy), 6) AS entropy FROM z GROUP BY ALL)"
+_ALIGN = f"WITH {_HEX.format('documents')}, {_BY}, k AS (SELECT doc_id, k::INT AS k, pos % k AS r, byte, count(*) AS n FROM y, unnest([1, 2, 4, 8, 16]) t(k) GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k, r) AS p FROM k), z AS (SELECT doc_id, k, r, -sum(p * log2(p)) + 0.0 AS entropy FROM s GROUP BY ALL), al AS (SELECT doc_id, k, round(avg(entropy), 6) AS entropy FROM z GROUP BY ALL)"
 
 
 def _chunks(n: int) -> str:
@@ -274,7 +396,36 @@ def _lpc(k: int) -> str:
     return f"WITH {_EV} SELECT user_id, event_id, ({term})::BIGINT AS delta FROM v WINDOW o AS (PARTITION BY user_id ORDER BY event_id)"
 
 
-_ESTIMATES = ", ".join(f"({level}, {threads}, {memory_estimate(Options.of_level(level), threads)})" for level in LEVELS for threads in (1, 8))
+_MEMORY = """WITH l(level, log, block) AS (VALUES (0, 0, 1), (1, 16, 8), (2, 16, 8), (3, 17, 16), (4, 17, 16), (5, 18, 32), (6, 18, 32), (7, 19, 64), (8, 19, 64), (9, 20, 128)),
+        b AS (SELECT level, block * 1048576::BIGINT AS n, CASE WHEN level < 6 THEN 262144 ELSE 11 * (1::BIGINT << least(26, 18 + level)) END AS hungriest FROM l),
+        f AS (SELECT *, n + n // 13 + 32 AS filtered FROM b)
+    SELECT level::INT AS level, threads::INT AS threads, ((n + CASE WHEN level = 0 THEN 0 ELSE filtered + filtered + 1 + hungriest END) * threads)::BIGINT AS n_bytes FROM f, (VALUES (1), (8)) t(threads)"""
+
+
+def _crc(poly: int, start: int) -> str:
+    """The list x of bytes under a reflected CRC, by its table."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ poly if i & 1 else i >> 1
+        table.append(f"{i}::BIGINT")
+    return f"xor(list_reduce(x, lambda c, b: xor(c >> 8, ([{', '.join(table)}])[(xor(c, b) & 255) + 1]), {start}::BIGINT), {start})"
+
+
+def _xored(terms: list[str]) -> str:
+    return reduce(lambda a, b: f"xor({a}, {b})", terms)
+
+
+_TABLE_SQL = "[" + ", ".join(f"{x}::BIGINT" for x in chunking._TABLE.tolist()) + "]"
+#: Chunks: the hash at a place is the XOR of 32 shifted table entries, and a chunk's end is found from the last one's.
+_CDC = f"""WITH RECURSIVE {_HEX.format('documents')}, y AS (SELECT doc_id, i - 1 AS pos, ('0x' || x[i])::INT AS byte FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM h WHERE len(x) > {chunking.LEAST})),
+        v AS (SELECT doc_id, pos, t.t[byte + 1] AS v FROM y, (SELECT {_TABLE_SQL} AS t) t),
+        r AS (SELECT doc_id, pos + k AS place, bit_xor(v >> k) AS hash FROM v, range(32) s(k) GROUP BY ALL),
+        cuts AS (SELECT doc_id, list(place ORDER BY place) AS cuts FROM r WHERE hash & {chunking.MASK} = 0 GROUP BY doc_id),
+        n AS (SELECT doc_id, len(x) AS n, coalesce(cuts, []) AS cuts FROM h LEFT JOIN cuts USING (doc_id) WHERE len(x) > 0),
+        c(doc_id, n, cuts, pos, upto) AS (SELECT doc_id, n, cuts, 0::BIGINT, 0::BIGINT FROM n UNION ALL
+            SELECT doc_id, n, cuts, upto, coalesce(list_filter(cuts, lambda p: p >= upto + {chunking.LEAST} AND p < least(n, upto + {chunking.MOST}))[1], least(n, upto + {chunking.MOST})) FROM c WHERE upto < n),
+        ch AS (SELECT c.doc_id, pos, (upto - pos)::INT AS length, sha256(encode(text)[pos + 1 : upto]) AS hash FROM c JOIN documents USING (doc_id) WHERE upto > 0)"""
 
 ORACLE = {
     "manifest_global_pos": f"WITH {_P} SELECT doc_id, ext, size, global_pos FROM p",
@@ -288,7 +439,7 @@ ORACLE = {
     "byte_entropy_by_lang": f"WITH {_HEX.format('documents')}, y AS (SELECT lang, unnest(x) AS b FROM h), c AS (SELECT lang, b, count(*) AS n FROM y GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, sum(n)::BIGINT AS n_bytes, round(-sum(p * log2(p)) + 0.0, 9) AS entropy FROM s GROUP BY lang",
     "entropy_by_alignment": f"{_ALIGN} SELECT doc_id, k, entropy FROM al",
     "alignment_choice": f"{_ALIGN}, o AS (SELECT doc_id, k, round(entropy + CASE k WHEN 1 THEN 0 WHEN 2 THEN 0.05 WHEN 4 THEN 0.1 WHEN 8 THEN 0.3 ELSE 0.6 END, 6) AS score FROM al) SELECT doc_id, k, score FROM o QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, k) = 1",
-    "stride_mode": f"WITH {_HEX.format(_HEADS)}, {_BY}, l AS (SELECT doc_id, (pos - lag(pos) OVER (PARTITION BY doc_id, pos // 1024, byte ORDER BY pos)) & 255 AS d FROM y), c AS (SELECT doc_id, d, count(*) AS n FROM l WHERE d > 0 GROUP BY ALL) SELECT doc_id, d::INT AS stride, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d) = 1",
+    "stride_mode": f"WITH {_HEX.format('documents')}, {_BY}, q AS (SELECT doc_id, len(x) AS size, len(x) // 4 AS q FROM h), st AS (SELECT y.doc_id, j, pos, byte FROM y JOIN q USING (doc_id), range(4) t(j) WHERE pos > j * q AND pos <= j * q + size - 1 - 3 * q), l AS (SELECT doc_id, (pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, j, byte ORDER BY pos), 0)) & 255 AS d FROM st), c AS (SELECT doc_id, d, count(*) AS n FROM l WHERE d > 0 GROUP BY ALL), m AS (SELECT doc_id, d, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d) = 1) SELECT doc_id, coalesce(d, 1)::INT AS stride, coalesce(n, 0) AS n FROM q LEFT JOIN m USING (doc_id)",
     "fixed_chunk_dedup": f"WITH {_chunks(256)} SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (original < id) AS n_duplicates, coalesce(sum(length(chunk)) FILTER (original < id), 0)::BIGINT AS duplicate_length FROM f GROUP BY doc_id",
     "exact_duplicate_docs": "SELECT doc_id, original_id, hash FROM (SELECT doc_id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY sha256(text)) AS original_id FROM documents) WHERE original_id < doc_id",
     "dedup_coalesce": f"WITH {_REFS} SELECT doc_id, copy_pos, original_pos, length, parts FROM g",
@@ -306,5 +457,21 @@ ORACLE = {
     "codec_roundtrip": "SELECT page_id, html FROM pages",
     "encrypted_roundtrip": "SELECT page_id, html FROM pages",
     "archive_roundtrip": "SELECT doc_id, text FROM documents",
-    "memory_estimates": f"SELECT level::INT AS level, threads::INT AS threads, n_bytes::BIGINT AS n_bytes FROM (VALUES {_ESTIMATES}) t(level, threads, n_bytes)",
+    "memory_estimates": _MEMORY,
+    "cdc_chunks": f"{_CDC} SELECT doc_id, pos, length, hash FROM ch",
+    "cdc_dedup_ratio": f"{_CDC}, b AS (SELECT ch.*, source, row_number() OVER (PARTITION BY hash, length ORDER BY doc_id, pos) AS k FROM ch JOIN documents USING (doc_id) WHERE length >= {dedup.LEAST_CHUNK}) SELECT source, count(*) AS n_chunks, sum(length)::BIGINT AS n_bytes, coalesce(sum(length) FILTER (k > 1), 0)::BIGINT AS duplicate_bytes FROM b GROUP BY source",
+    "windowed_references": f"{_CDC}, {_P}, g AS (SELECT ch.doc_id, ch.pos, ch.length::BIGINT AS length, hash, (global_pos + ch.pos)::BIGINT AS global_pos FROM ch JOIN p USING (doc_id)), f AS (SELECT *, min(global_pos) OVER (PARTITION BY hash, length) AS first FROM g) SELECT doc_id, pos, length, global_pos, CASE WHEN length >= {dedup.LEAST_CHUNK} AND first < global_pos AND global_pos - first < 65536 THEN first END AS original_pos FROM f",
+    "crc32_payload": f"WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda y: ('0x' || y)::BIGINT) AS x FROM documents) SELECT doc_id, {_crc(0xEDB88320, 0xFFFFFFFF)} AS crc32, {_crc(0x8408, 0xFFFF)}::INT AS crc16 FROM b",
+    "literal_modes": f"WITH {_HEX.format('documents')}, y AS (SELECT doc_id, i, ('0x' || x[i])::INT AS b FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM h)), z AS (SELECT doc_id, 'raw' AS k, b FROM y UNION ALL SELECT * FROM (SELECT doc_id, 'delta', (b - lag(b) OVER (PARTITION BY doc_id ORDER BY i)) & 255 AS b FROM y) WHERE b IS NOT NULL), n AS (SELECT doc_id, k, b, count(*) AS n FROM z GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k) AS p FROM n), e AS (SELECT doc_id, coalesce(-sum(p * log2(p)) FILTER (k = 'raw'), 0) AS raw, coalesce(-sum(p * log2(p)) FILTER (k = 'delta'), 8) AS delta FROM s GROUP BY doc_id) SELECT doc_id, CASE WHEN delta < raw - 0.2 THEN 'delta' WHEN raw < delta - 0.1 THEN 'raw' ELSE 'exclusion' END AS mode FROM e",
+    "archive_entries": f"WITH {_P} SELECT path, 'f' AS type, size, global_pos, 438::INT AS mode FROM p",
+    "restored_tree": f"WITH {_E} SELECT path, 'f' AS type, size, 438::INT AS mode, 0::BIGINT AS mtime FROM e UNION ALL SELECT split_part(path, '/', 1), 'd', sum(size)::BIGINT, NULL, NULL FROM e GROUP BY 1",
+    "restored_halves": f"WITH {_E} SELECT path, sha256(encode(text)[size // 2 + 1 :]) AS hash FROM e JOIN documents USING (doc_id)",
+    "encrypted_archive": "SELECT encrypted, doc_id, text FROM documents, (VALUES (true), (false)) t(encrypted)",
+    "ctr_roundtrip": "SELECT page_id, (octet_length(encode(html)) + 16)::BIGINT AS n_sealed, html FROM pages",
+    "derived_keys": """WITH RECURSIVE r(lang, i, h) AS (SELECT DISTINCT lang, 0, encode(coalesce(lang, '')) FROM documents UNION ALL SELECT lang, i + 1, unhex(sha256(h || encode('a test salt'))) FROM r WHERE i < 200),
+        k AS (SELECT a.lang, lower(hex(a.h)) AS key, hex(b.h) AS x FROM r a JOIN r b ON a.lang IS NOT DISTINCT FROM b.lang WHERE a.i = 100 AND b.i = 200)
+        SELECT lang, key, lower(""" + " || ".join("printf('%02X', " + _xored([f"('0x' || substring(x, {8 * w + 2 * k + 1}, 2))::INT" for w in range(8)]) + ")" for k in range(4)) + """) AS "check" FROM k""",
+    "codec_bounds": "WITH f AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, (n + n // 13 + 32 + 1 + 16)::BIGINT AS bound, true AS kept FROM f",
+    "filter_segments": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, true AS restored FROM documents",
+    "recency_places": "WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), l AS (SELECT *, lag(i) OVER (PARTITION BY user_id, event_type ORDER BY i) AS last FROM e), p AS (SELECT l.user_id, l.event_id, any_value(l.last) AS last, count(DISTINCT b.event_type) AS place FROM l LEFT JOIN e b ON b.user_id = l.user_id AND b.i > l.last AND b.i < l.i GROUP BY ALL) SELECT user_id, event_id, CASE WHEN last IS NULL OR place >= 3 THEN -1 ELSE place END::INT AS place, true AS restored FROM p",
 }
