@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents through quality rules, toxicity, near-duplicate removal and packing."""
+"""The corpus pipeline: documents through quality rules, toxicity, near-duplicate removal and packing.
+
+Each stage works on all that the one before kept; all but the last give back documents with every column they came with, whatever further
+columns these have and whatever they are called. Defined results: a document with a null or empty text, or without words, passes the
+filters and is in no window; a null language is a language of its own; a document with a null doc_id is judged like others, has no near
+duplicates, and comes before the others in the windows; repeated rows are judged each for itself until near-duplicate removal, which
+leaves one of them; of equal documents that of least doc_id stays; without labels of both classes nothing is toxic; texts of any length
+are worked on whole, and one of more words than a window goes on over several; an empty table gives no window.
+"""
 
 from __future__ import annotations
 
