@@ -56,7 +56,12 @@ def mark_references(chunks: DataFrame, window: int | None = None) -> DataFrame:
     """Chunks (length, hash, global_pos) as literals or references: with original_pos, null for literals.
 
     Chunks under LEAST_CHUNK bytes stay literal. The least position wins, so a referenced range is always literal itself.
-    With a window, a chunk refers to an equal one only where that lies less than so many bytes before it, and where not, stays literal.
+    With a window, the equal chunks are taken in stretches of so many bytes from the first of them on, and refer to the first of their
+    stretch: so each reference reaches less than the window back, and what it refers to is literal.
     """
-    big = first_occurrence(chunks.where(F.col("length") >= LEAST_CHUNK), ["hash", "length"], "global_pos").withColumn("original_pos", F.when((F.col("original") < F.col("global_pos")) & (F.lit(True) if window is None else F.col("global_pos") - F.col("original") < window), F.col("original"))).drop("original")
+    big = first_occurrence(chunks.where(F.col("length") >= LEAST_CHUNK), ["hash", "length"], "global_pos")
+    if window is not None:
+        big = big.withColumn("_stretch", F.floor((F.col("global_pos") - F.col("original")) / window)).drop("original")
+        big = first_occurrence(big, ["hash", "length", "_stretch"], "global_pos").drop("_stretch")
+    big = big.withColumn("original_pos", F.when(F.col("original") < F.col("global_pos"), F.col("original"))).drop("original")
     return big.unionByName(chunks.where(F.col("length") < LEAST_CHUNK).withColumn("original_pos", F.lit(None).cast("long")))

@@ -319,7 +319,7 @@ def recency_places(spark, d):
 
 
 def windowed_references(spark, d):
-    """Content-defined chunks of the solid order that an equal chunk less than 64 KiB before them stands for."""
+    """Content-defined chunks of the solid order, and the equal chunk less than 64 KiB before each that may stand for it."""
     placed = layout.positions(manifest.solid_key(_entries(spark, d)), list(manifest.SOLID)).select(F.col("doc_id").alias("of"), "global_pos")
     c = cdc_chunks(spark, d).join(placed, F.col("doc_id") == F.col("of")).select("doc_id", "pos", F.col("length").cast("long").alias("length"), "hash", (F.col("global_pos") + F.col("pos")).alias("global_pos"))
     return dedup.mark_references(shared.cut(c), 65536).select("doc_id", "pos", "length", "global_pos", "original_pos")
@@ -460,7 +460,7 @@ ORACLE = {
     "memory_estimates": _MEMORY,
     "cdc_chunks": f"{_CDC} SELECT doc_id, pos, length, hash FROM ch",
     "cdc_dedup_ratio": f"{_CDC}, b AS (SELECT ch.*, source, row_number() OVER (PARTITION BY hash, length ORDER BY doc_id, pos) AS k FROM ch JOIN documents USING (doc_id) WHERE length >= {dedup.LEAST_CHUNK}) SELECT source, count(*) AS n_chunks, sum(length)::BIGINT AS n_bytes, coalesce(sum(length) FILTER (k > 1), 0)::BIGINT AS duplicate_bytes FROM b GROUP BY source",
-    "windowed_references": f"{_CDC}, {_P}, g AS (SELECT ch.doc_id, ch.pos, ch.length::BIGINT AS length, hash, (global_pos + ch.pos)::BIGINT AS global_pos FROM ch JOIN p USING (doc_id)), f AS (SELECT *, min(global_pos) OVER (PARTITION BY hash, length) AS first FROM g) SELECT doc_id, pos, length, global_pos, CASE WHEN length >= {dedup.LEAST_CHUNK} AND first < global_pos AND global_pos - first < 65536 THEN first END AS original_pos FROM f",
+    "windowed_references": f"{_CDC}, {_P}, g AS (SELECT ch.doc_id, ch.pos, ch.length::BIGINT AS length, hash, (global_pos + ch.pos)::BIGINT AS global_pos FROM ch JOIN p USING (doc_id)), f AS (SELECT *, (global_pos - min(global_pos) OVER (PARTITION BY hash, length)) // 65536 AS stretch FROM g), o AS (SELECT *, min(global_pos) OVER (PARTITION BY hash, length, stretch) AS first FROM f) SELECT doc_id, pos, length, global_pos, CASE WHEN length >= {dedup.LEAST_CHUNK} AND first < global_pos THEN first END AS original_pos FROM o",
     "crc32_payload": f"WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda y: ('0x' || y)::BIGINT) AS x FROM documents) SELECT doc_id, {_crc(0xEDB88320, 0xFFFFFFFF)} AS crc32, {_crc(0x8408, 0xFFFF)}::INT AS crc16 FROM b",
     "literal_modes": f"WITH {_HEX.format('documents')}, y AS (SELECT doc_id, i, ('0x' || x[i])::INT AS b FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM h)), z AS (SELECT doc_id, 'raw' AS k, b FROM y UNION ALL SELECT * FROM (SELECT doc_id, 'delta', (b - lag(b) OVER (PARTITION BY doc_id ORDER BY i)) & 255 AS b FROM y) WHERE b IS NOT NULL), n AS (SELECT doc_id, k, b, count(*) AS n FROM z GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id, k) AS p FROM n), e AS (SELECT doc_id, coalesce(-sum(p * log2(p)) FILTER (k = 'raw'), 0) AS raw, coalesce(-sum(p * log2(p)) FILTER (k = 'delta'), 8) AS delta FROM s GROUP BY doc_id) SELECT doc_id, CASE WHEN delta < raw - 0.2 THEN 'delta' WHEN raw < delta - 0.1 THEN 'raw' ELSE 'exclusion' END AS mode FROM e",
     "archive_entries": f"WITH {_P} SELECT path, 'f' AS type, size, global_pos, 438::INT AS mode FROM p",

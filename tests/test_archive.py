@@ -180,8 +180,8 @@ def test_progress_and_abort(spark):
 
 
 def test_windows_bound_references(spark):
-    rows = [(b"x", 600, p) for p in (0, 1000, 9000)] + [(b"y", 10, 700), (b"y", 10, 710)]
+    rows = [(b"x", 600, p) for p in (0, 1000, 9000, 9500)] + [(b"y", 10, 700), (b"y", 10, 710)]
     c = spark.createDataFrame(rows, "hash binary, length long, global_pos long")
     marked = lambda **k: {r["global_pos"]: r["original_pos"] for r in dedup.mark_references(c, **k).collect()}
-    assert marked() == {0: None, 1000: 0, 9000: 0, 700: None, 710: None}
-    assert marked(window=5000) == {0: None, 1000: 0, 9000: None, 700: None, 710: None}
+    assert marked() == {0: None, 1000: 0, 9000: 0, 9500: 0, 700: None, 710: None}
+    assert marked(window=5000) == {0: None, 1000: 0, 9000: None, 9500: 9000, 700: None, 710: None}

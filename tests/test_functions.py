@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strata.errors import BadArchive, NotAnArchive, UnknownCodec, UnsafePath
-from strata.functions import codecs, crypto, filters
+from strata.functions import checksums, codecs, crypto, filters
 from strata.functions.bits import read_varint, write_varint
 from strata.functions.checksums import crc16
 from strata.operators import chunking
@@ -148,3 +148,51 @@ def test_literal_modes():
     assert filters.literal_mode(ramp, 1) == "delta" and filters.literal_mode(np.zeros(100, np.uint8), 3) == "exclusion"
     rng = np.random.default_rng(1)
     assert filters.literal_mode(rng.integers(0, 4, 5000).astype(np.uint8), 1) == "raw"
+
+
+def test_trials_by_another_backend():
+    context = codecs.Context(settings={"filter_backend": "lzma"})
+    ramp = np.cumsum(np.random.default_rng(0).integers(-2, 3, (16384, 2)), axis=0).astype(np.uint8).tobytes()
+    for c in (codecs.Context(), context):
+        coded = codecs.find("delta").encode(ramp, 1, c)
+        assert filters.decode(coded) == ramp and sum(n for _, n in filters.segments(coded)) == len(ramp)
+        assert any(k == filters.DIFFERENCE for k, _ in filters.segments(coded))
+
+
+def sequential_distances(data):
+    """Four streams in step, each with the places where it last saw a byte, at first the start of the data."""
+    counts, q = np.zeros(256, np.int64), len(data) // 4
+    last = [[0] * 256 for _ in range(4)]
+    at = [1 + j * q for j in range(4)]
+    while at[3] < len(data):
+        for j in range(4):
+            b = data[at[j]]
+            counts[(at[j] - last[j][b]) & 255] += 1
+            last[j][b] = at[j]
+            at[j] += 1
+    counts[0] = 0
+    return counts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=700))
+def test_distances_are_those_of_the_sequential_model(data):
+    assert (filters.distances(np.frombuffer(data, np.uint8)) == sequential_distances(data)).all()
+
+
+def test_crc16_of_the_standard_check_and_of_a_table():
+    assert checksums.crc16(b"123456789") == 0x906E
+    for n in (0, 1, 2, 1000):
+        data, c = os.urandom(n), 0xFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ 0x8408 if c & 1 else c >> 1
+        assert checksums.crc16(data) == c ^ 0xFFFF
+
+
+def test_xxh3_of_a_column(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(b"",), (None,)], "b binary").select(checksums.xxh3_column(F.col("b"))).collect()
+    assert rows[0][0] == 0x2D06800538D394C2 and rows[1][0] is None
