@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest number of bytes that is broadcast; beyond it the callers join by shuffle.
 BROADCAST_BYTES = 192 << 20
@@ -46,6 +47,25 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: 64-bit words of the bit field of sieve(): 8 MiB at most.
+FIELD = 1 << 20
+
+
+def sieve(df: DataFrame, column: str, keys: DataFrame, key: str, most: int = FIELD) -> DataFrame:
+    """Rows of df whose column is among the keys, and a few others: what a join with the keys needs not shuffle is left out.
+
+    The keys are marked in a field of bits, one row that is broadcast, of 16 bits a key but never more than `most` words: with more keys
+    it lets more through, in the end everything.
+    """
+    words = max(1, min(most, keys.count() // 4 + 1))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(64 * words))
+    marked = keys.select(place(key).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("b"))
+    every = df.sparkSession.range(words).join(marked, F.col("id") == F.col("w"), "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
+    field = table(every.select(F.transform("x", lambda y: y["b"]).alias("_field")), "field")
+    bit = F.expr(f"shiftright(get(_field, CAST(pmod(xxhash64(`{column}`), {64 * words}L) div 64 AS INT)), CAST(pmod(xxhash64(`{column}`), {64 * words}L) % 64 AS INT)) & 1 = 1")
+    return df.crossJoin(F.broadcast(field)).where(F.col(column).isNotNull() & bit).drop("_field")
+
+
 _HELD: dict[str, object] = {}
 
 
