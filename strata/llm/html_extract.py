@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm import storage
 from strata.llm import text as kernels
 
 SIGMA = 1.0
@@ -146,6 +147,7 @@ def extract(html: str | None, sigma: float = SIGMA, weight: float = LAMBDA) -> t
 
 def extract_content(pages: DataFrame, sigma: float = SIGMA, weight: float = LAMBDA) -> DataFrame:
     """(page_id, text, n_chars, regions, lines) of every row."""
+    storage.bound_batches(pages.sparkSession)
 
     def work(batches):
         for batch in batches:

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.llm import storage
+
 _ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
 _AT = np.array([8 * (k // 8) + k % 8 for k in _ZIGZAG])
 #: The tables of Annex K for luminance, as nearly every encoder has them: number of codes of each length, and their symbols.
@@ -229,17 +231,20 @@ def thumbnail(data: bytes) -> tuple[int, int, int, np.ndarray]:
     return width, height, len(frame), thumb
 
 
+@cache
+def _cells(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of k cells over n pixels begins and ends."""
+    lo = np.arange(k) * n // k
+    return lo, np.maximum(lo + 1, (np.arange(k) + 1) * n // k)
+
+
 def grid(thumb: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Means of the cells of a grid over a thumbnail; a cell smaller than a pixel has that pixel's value."""
-    def cells(n, k):
-        lo = np.arange(k) * n // k
-        return lo, np.maximum(lo + 1, (np.arange(k) + 1) * n // k)
-
+    (y0, y1), (x0, x1) = _cells(thumb.shape[0], rows), _cells(thumb.shape[1], columns)
     total = np.zeros((thumb.shape[0] + 1, thumb.shape[1] + 1))
-    total[1:, 1:] = thumb.astype(float).cumsum(0).cumsum(1)
-    (y0, y1), (x0, x1) = cells(thumb.shape[0], rows), cells(thumb.shape[1], columns)
-    s = total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]
-    return s / ((y1 - y0)[:, None] * (x1 - x0)[None, :])
+    np.cumsum(np.cumsum(thumb, 0, float), 1, out=total[1:, 1:])
+    down = total[y1] - total[y0]
+    return (down[:, x1] - down[:, x0]) / np.outer(y1 - y0, x1 - x0)
 
 
 def _bits(x: np.ndarray) -> int:
@@ -340,6 +345,7 @@ def pictures_of(values: np.ndarray) -> np.ndarray:
 
 def media_of(embeddings: DataFrame) -> DataFrame:
     """(vec_id, media): a JPEG of each embedding, with a restart interval of two rows of blocks."""
+    storage.bound_batches(embeddings.sparkSession)
 
     def work(batches):
         for batch in batches:
@@ -360,6 +366,7 @@ _SCHEMA = "width int, height int, components int, thumb_width int, thumb_height
 
 def decode_media(media: DataFrame, key: str, column: str) -> DataFrame:
     """(key, width, height, components, thumb_width, thumb_height, thumbnail, average_hash, difference_hash, error) of every row's JPEG."""
+    storage.bound_batches(media.sparkSession)
     names = [key, *(x.split()[0] for x in _SCHEMA.split(", "))]
     types = [pa.int32()] * 5 + [pa.binary(), pa.int64(), pa.int64(), pa.string()]
 

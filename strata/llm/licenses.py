@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import text
+from strata.llm import storage, text
 from strata.llm.license_rules import RULES
 
 _SCHEMA = "licenses array<string>, detections array<struct<license: string, rule: int, start: int, end: int>>, n_detections int"
@@ -107,6 +107,7 @@ def _gate() -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, detections, n_detections) of every row; licenses are distinct, in order of place."""
+    storage.bound_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("license", pa.string()), ("rule", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     loose = re.sub(r"(?<!\\) |\\ ", lambda _: r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", _gate())  # all that \s is in Python
 

@@ -201,12 +201,6 @@ class HashArrays:
         return out
 
 
-def hash_strings(column) -> np.ndarray:
-    """The hash that words() gives to each string of a column, taken whole."""
-    flat, off = raw_bytes(strings(column))
-    return hash_runs(flat, off[:-1], off[1:])
-
-
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The hash that ngrams() gives to two words in sequence."""
     g = v * U64(_P)

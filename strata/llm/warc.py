@@ -23,7 +23,6 @@ import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
