@@ -4,12 +4,13 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from strata.llm import bpe, jaccard_join, licenses, packing, quality_rules, toxicity
+from strata.llm import bpe, jaccard_join, licenses, packing, quality_rules, storage, toxicity
 from tests.llm.conftest import SCHEMA, row, sentence
 
 
@@ -65,8 +66,19 @@ def test_shuffled_tasks_and_ids_that_are_strings(spark, monkeypatch):
     want = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()))
     assert len(want) > 100 and set(want) <= {(a, b, j) for a, b, j in brute_pairs(docs.collect())}
     assert sorted(r["doc_id"] for r in jaccard_join.remove_near_duplicates(docs).collect()) == ["d00", "d10", "d20", "d30"]
-    monkeypatch.setattr(jaccard_join, "IDS", 0)
-    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
+    monkeypatch.setattr(jaccard_join, "MANY", 0)
+    monkeypatch.setattr(jaccard_join, "SPLIT", 4)
+    got = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+
+
+def test_the_sieve_lets_every_key_through(spark):
+    rows = spark.createDataFrame([(i, "x") for i in range(3000)] + [(None, "x")], "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 3000, 30)], "k long")
+    for most in (1 << 20, 1):
+        got = {r["doc_id"] for r in storage.sieve(rows, "doc_id", keys, "k", most).collect()}
+        assert set(range(0, 3000, 30)) <= got and None not in got and (len(got) < 600 or most == 1)
+    assert storage.sieve(rows, "doc_id", keys.where("false"), "k").count() == 0
 
 
 def test_the_union_bounds_every_overlap():
@@ -310,22 +322,73 @@ def test_a_forgetful_encoder_gives_the_same(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     e = bpe.Encoder(bpe.vocabulary(bpe.VOCABULARY))
     for t, w in zip(texts, want):
-        split = bpe._pattern(bpe.PATTERN).findall(t)
-        e.encode_words(split)
-        assert [x for s in split for x in e.known[s]] == w
+        assert e.encode_texts([bpe._pattern(bpe.PATTERN).findall(t)])[0].tolist() == w
+
+
+def test_very_long_words_take_linear_time():
+    e, took = bpe.Encoder(bpe.vocabulary(bpe.VOCABULARY)), []
+    for n in (20_000, 200_000):
+        word = "".join(random.Random(n).choice("abcdefgh") for _ in range(n))
+        began = time.time()
+        e.encode_words([word])
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1 and len(e.tokens) > 50_000
+    v = bpe.vocabulary(bpe.VOCABULARY)
+    assert b"".join(v.tokens[x] for x in e.tokens[e.ends[1] :]).decode() == word
+    monkey = [v.follows(1, x) for x in range(300)]
+    v.apart.clear()
+    assert [v.follows(1, x) for x in range(300)] == monkey
+
+
+def test_what_isnt_restored_is_told():
+    flat, off, _ = bpe._encode(["abc def", None, "xyz"], bpe.VOCABULARY, bpe.PATTERN)
+    block = lambda *t: pa.array(t, pa.large_string())
+    told = lambda b: bpe._restores(flat, off, b, bpe.VOCABULARY).tolist()
+    assert told(block("abc def", None, "xyz")) == [True, True, True] and told(block("abc dff", None, "xyz")) == [False, True, True] and told(block("abc def", None, "xyzz")) == [True, True, False]
+
+
+def pipeline_documents(docs, labels):
+    """Rows that the filters and the brute-force removal of near duplicates leave, and how many of those have no doc_id."""
+    keep = Counter((r["doc_id"], r["lang"], r["perplexity"], r["keep"]) for r in quality_rules.quality_rules(docs).collect())
+    rejected = {d for d, _, _, k in keep if not k}
+    assert not any(k and d in rejected for d, _, _, k in keep), "the test needs one verdict for a doc_id"
+    docs = docs.where(docs.doc_id.isNull() | ~docs.doc_id.isin(list(rejected)))
+    toxic = {r["doc_id"] for r in toxicity.toxicity(docs, labels).collect() if r["toxic"]}
+    return docs.where(docs.doc_id.isNull() | ~docs.doc_id.isin(list(toxic))).collect()
 
 
 def test_pipeline_is_its_stages_one_after_the_other(spark):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    keep = {r["doc_id"] for r in quality_rules.quality_rules(docs).collect() if r["keep"]}
-    docs = docs.where(docs.doc_id.isin(list(keep)))
-    toxic = {r["doc_id"] for r in toxicity.toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).collect() if r["toxic"]}
-    rows = [r for r in docs.collect() if r["doc_id"] not in toxic]
+    rows = pipeline_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
     stay = set(brute_keep(rows)[0])
     want = brute_windows([r for r in rows if r["doc_id"] in stay])
     got = corpus_pipeline.run(spark, d).orderBy("shard", "window").collect()
     assert [(tuple(r["doc_ids"]), tuple(r["starts"]), tuple(r["ends"])) for r in got] == want
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def test_pipeline_of_hard_rows_and_empty_tables(spark, hard, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("hard", hard), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, spark.read.parquet(f"{tmp_path}/hard/documents.parquet"), f"{tmp_path}/hard")
+        assert out.columns == hard.columns and out.count() > 20, name
+    rows = toxicity.filter_documents(quality_rules.filter_documents(hard), labels).collect()
+    ids, nulls = brute_keep(rows)
+    own = Counter()
+    for r in rows:
+        own[r["doc_id"]] += sum(sentence_lengths(r["text"]))
+    words_in, order = Counter(), []
+    for r in corpus_pipeline.run(spark, f"{tmp_path}/hard").orderBy("shard", "window").collect():
+        for d, s, e in zip(r["doc_ids"], r["starts"], r["ends"]):
+            words_in[d] += e - s
+            order.append(d)
+    single = [d for d in set(ids) if sum(r["doc_id"] == d for r in rows) == 1 and own[d]]
+    assert len(single) > 20 and all(words_in[d] == own[d] for d in single) and words_in[None] == own[None]
+    assert set(words_in) - {None} == {d for d in ids if own[d]} and [d is None for d in order] == sorted((d is None for d in order), reverse=True)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
