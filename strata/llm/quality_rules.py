@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from strata.llm import storage, text
 
 ORDER = 5
-LOW = 3.5
-HIGH = 3.0
+LOW = 4.0
+HIGH = 5.0
 _BLOCK = 1 << 19
 #: Bytes of texts that ask for their n-grams together where the arrays are in parts.
 BLOCK_BYTES = 8 << 20
