@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from strata.llm import bpe, jaccard_join, licenses, packing, quality_rules, storage, toxicity
-from tests.llm.conftest import SCHEMA, row, sentence
+from tests.llm.conftest import SCHEMA, row, same_as_sql, sentence
 
 
 def words(t):
@@ -50,6 +50,28 @@ def test_pairs_are_those_of_brute_force(spark, hard):
     assert sorted(map(tuple, jaccard_join.jaccard_join(hard).collect())) == brute_pairs(hard.collect())
 
 
+def test_a_row_for_each_document_with_its_class_and_links(spark, hard, empty, monkeypatch):
+    rng = random.Random(21)
+    copies = near_copies(rng, 12, 0.01)
+    rows = [row(i, copies[i % 12]) for i in range(60)] + [row(60 + i, sentence(rng)) for i in range(20)]
+    rows += [row(5, copies[8]), row(60, copies[3]), row(61, rows[62][1]), row(62, rows[62][1]), row(90, None), row(None, copies[0]), row(None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).unionAll(hard)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "VISITORS", 2)
+    got = jaccard_join.document_links(docs)
+    assert same_as_sql(got, jaccard_join.ORACLE_SQL, documents=docs)
+    ids, got = [r["doc_id"] for r in docs.select("doc_id").collect()], got.collect()
+    assert len(got) == len(set(ids) - {None}) + ids.count(None)
+    assert {r["doc_id"]: r["links"] for r in got if r["links"]} == Counter(x for p in brute_pairs(docs.collect()) for x in p[:2])
+    assert jaccard_join.document_links(empty).count() == 0
+
+
+def test_the_query_gives_as_many_rows_as_there_are_documents(spark, tmp_path):
+    texts = ["one two three four five" + " six" * (i % 2) for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, jaccard_join.op8(spark, str(tmp_path)).collect())) == [(i, 0, 39) for i in range(40)]
+
+
 def test_blocks_only_divide_the_work(spark, monkeypatch):
     rng = random.Random(8)
     docs = spark.createDataFrame([row(i, t) for i, t in enumerate(near_copies(rng, 40, 0.02))], SCHEMA)
