@@ -8,7 +8,7 @@ where a_c(w) counts the distinct words before w in the class's documents and n_c
 a passage count once, the discounts D come from the class's counts of counts, and n(w) / N is shared by both classes: Spark counts every
 word of every document of the corpus. An expression too rare to tell the classes apart, whose count in the toxic class lies within SURE
 standard deviations of what its count in both would give by chance, is discounted wholly and so left to the shared counts (with discounts
-D alone, words that merely happen to be new to the smaller class decide: README). A word that neither class's sample holds leaves only the
+D alone, words that merely happen to be new to the smaller class decide: README). A word that neither class's documents hold leaves only the
 backoff masses in the comparison, since n(w) / N cancels. The score of a document is
 
     (log P_toxic - log P_ordinary - words * M) / (words + PAD)
@@ -18,13 +18,14 @@ documents that the models weren't trained on: of all thresholds midway between t
 toxic documents caught less STRICT times that of ordinary ones. M is that of each language with at least LEAST ordinary documents to fit
 it, the threshold that of each language with as many of both classes; other languages have those of all documents together.
 
-The only bounded sample is that of labelled documents: in each class at most SAMPLE to train and SAMPLE to fit the threshold, those of
-least md5 of their doc_id among those that have a text. All their words are used, whatever the sizes of the classes: every count is
-divided by its class's total. The finished model lies in the shared folder as sorted hash arrays, from which each worker reads it.
+All labelled documents that have a text are used: those whose md5 of the doc_id begins with 0 to 7 train the models, the others fit M and
+the thresholds, and every count is divided by its class's total. (The SQL takes the first SAMPLE of each class and half; the rows are
+the same where there are no more.) The finished model lies in the shared folder as sorted hash arrays, from which each worker reads it. A
+word whose counts tell nothing apart, and that ends no pair that does, isn't in it: it leaves the backoff masses, as a new word does.
 
 Defined results: a null or empty text has no words, score 0 and isn't toxic; a label that is null or belongs to no document with a text is
-ignored; a document labelled twice counts as toxic if one label says so; of several texts of a labelled doc_id the one of least md5 is in
-the sample; a labelled document of one word or none trains nothing; where a class has no pair of words to train with, all scores are 0 and
+ignored; a document labelled twice counts as toxic if one label says so; of several texts of a labelled doc_id the one of least md5 is
+taken; a labelled document of one word or none trains nothing; where a class has no pair of words to train with, all scores are 0 and
 nothing is toxic; without documents to fit it, the threshold is THRESHOLD; documents with a null lang, or all if there is no such column,
 are a language of their own; repeated rows are scored each for itself; an empty table gives an empty result; other columns are carried
 through by filter_documents and ignored by toxicity.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import storage, text
 
+#: Labelled documents of each class and half in the SQL.
 SAMPLE = 2500
 SURE = 4.0
 PAD = 10
@@ -54,18 +56,14 @@ def _language(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, fold, text, lang): the bounded sample; fold 0 trains, fold 1 fits the threshold."""
+    """(toxic, fold, text, lang) of every labelled document; fold 0 trains, fold 1 fits the threshold."""
     t = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     t = t.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi").withColumn("md5", F.md5(F.col("doc_id").cast("string")))
-    t = storage.cut(t.withColumn("fold", (F.substring("md5", 1, 1) >= "8").cast("int")))
-    parts = [t.where((F.col("toxic") == c) & (F.col("fold") == f)).orderBy("md5").limit(SAMPLE) for c in (0, 1) for f in (0, 1)]
-    picks = parts[0]
-    for p in parts[1:]:
-        picks = picks.unionAll(p)
-    picks = picks.select(F.col("doc_id").alias("picked"), "toxic", "fold")
-    d = _language(docs).where("text is not null").join(F.broadcast(picks), F.col("doc_id") == F.col("picked"))
+    t = t.select(F.col("doc_id").alias("picked"), "toxic", (F.substring("md5", 1, 1) >= "8").cast("int").alias("fold"))
+    picks = storage.table(t, "labelled")
+    d = storage.sieve(_language(docs).where("text is not null"), "doc_id", picks, "picked").join(picks, F.col("doc_id") == F.col("picked"))
     one = d.groupBy("picked", "toxic", "fold").agg(F.min(F.struct(F.md5("text"), "text", "lang")).alias("d"))
-    return storage.cut(one.select("toxic", "fold", "d.text", "d.lang"))
+    return storage.table(one.select("toxic", "fold", "d.text", "d.lang"), "labelled-texts")
 
 
 def _sequences(sample: DataFrame) -> DataFrame:
@@ -86,7 +84,8 @@ def _sequences(sample: DataFrame) -> DataFrame:
                 alone = begin[i - 1]
                 u = pa.array(h[np.maximum(i - 2, 0)], mask=alone)
                 which = np.repeat(toxic[first : first + len(block)], np.diff(at))[i]
-                yield pa.record_batch([pa.array(which, pa.int32()), u, pa.array(h[i - 1]), pa.array(h[i])], names=["toxic", "u", "v", "w"])
+                rows = pa.table([pa.array(which, pa.int32()), u, pa.array(h[i - 1]), pa.array(h[i])], names=["toxic", "u", "v", "w"])
+                yield from rows.group_by(rows.column_names).aggregate([]).combine_chunks().to_batches()
 
     return sample.where("fold = 0").select("toxic", "text").mapInArrow(work, "toxic int, u long, v long, w long").distinct()
 
@@ -94,8 +93,8 @@ def _sequences(sample: DataFrame) -> DataFrame:
 def _discounted(level: DataFrame, *keys: str) -> DataFrame:
     """level (toxic, *keys, c) with d, the modified Kneser-Ney discount of c in its class, or c itself for an expression that doesn't tell the classes apart."""
     n = [F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    one = lambda i, other: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit(other))))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))  # null where no expression is that rare: conditions may be evaluated late
+    one = lambda i, other: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), f"n{i}")).otherwise(F.lit(other))))
     d = level.groupBy("toxic").agg(*n).select("toxic", one(1, 0.5).alias("d1"), one(2, 1.0).alias("d2"), one(3, 1.5).alias("d3"))
     toxic = F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)
     share = level.agg((F.sum(toxic) / F.sum("c")).alias("q"))
@@ -174,9 +173,9 @@ def _pair_keys(batches):
 
 def train(docs: DataFrame, sample: DataFrame) -> str:
     """The folder that holds the class models' hash arrays."""
-    seq = storage.cut(_sequences(sample))
-    pairs = storage.cut(_discounted(storage.cut(seq.where("u is not null").groupBy("toxic", "v", "w").agg(F.count("*").alias("c"))), "v", "w"))
-    single = storage.cut(_discounted(storage.cut(seq.groupBy("toxic", "w").agg(F.countDistinct("v").alias("c"))), "w"))
+    seq = storage.table(_sequences(sample), "sequences")
+    pairs = storage.table(_discounted(storage.table(seq.where("u is not null").groupBy("toxic", "v", "w").agg(F.count("*").alias("c")), "pairs"), "v", "w"), "pairs")
+    single = storage.table(_discounted(storage.table(seq.groupBy("toxic", "w").agg(F.countDistinct("v").alias("c")), "words"), "w"), "words")
     mass = {r["toxic"]: (r["total"], r["d"] / r["total"]) for r in single.groupBy("toxic").agg(F.sum("c").alias("total"), F.sum("d").alias("d")).collect()}  # a row a class
     folder, spark = storage.new_folder(docs.sparkSession, "toxicity"), docs.sparkSession
     rows = spark.createDataFrame([(_MASS, 0, mass[1][1], mass[0][1])] if len(mass) == 2 else [], "kind int, key long, t double, o double")
@@ -185,7 +184,9 @@ def train(docs: DataFrame, sample: DataFrame) -> str:
         total = counts.agg(F.sum("n")).first()[0]
         x = F.when(F.col("toxic") == 1, (F.col("c") - F.col("d")) / mass[1][0]).otherwise((F.col("c") - F.col("d")) / mass[0][0])
         shared = F.coalesce(F.col("n"), F.lit(0)) / total
-        words = _by_class(single, x, 0.0, "w").join(counts, F.col("w") == F.col("word"), "left")
+        ends = pairs.where("c > d").select(F.col("w").alias("end")).distinct()
+        own = _by_class(single, x, 0.0, "w").join(ends, F.col("w") == F.col("end"), "left").where("t > 0 or o > 0 or end is not null")
+        words = own.join(counts, F.col("w") == F.col("word"), "left")
         words = words.select(F.lit(_WORDS).alias("kind"), F.col("w").alias("key"), (F.col("t") + mass[1][1] * shared).alias("t"), (F.col("o") + mass[0][1] * shared).alias("o"))
         totals = storage.cut(pairs.groupBy(F.col("toxic").alias("tt"), F.col("v").alias("tv")).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("b")))
         contexts = _by_class(totals.where("b < 1").withColumnRenamed("tt", "toxic"), F.col("b"), 1.0, "tv").select(F.lit(_CONTEXTS).alias("kind"), F.col("tv").alias("key"), "t", "o")
@@ -214,38 +215,39 @@ def fit(docs: DataFrame, labels: DataFrame):
             n, s = _scores(folder, batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s.astype(float))], names=["toxic", "lang", "n", "s"])
 
-    scored = sample.where("fold = 1").select("toxic", "lang", "text").mapInArrow(work, "toxic int, lang string, n long, s double").toArrow()  # 2 SAMPLE rows at most
-    n, s, bad = scored["n"].to_numpy(), scored["s"].to_numpy(), scored["toxic"].to_numpy() == 1
-    langs = scored["lang"].to_pylist()
-    others = _choose(n, s, bad, _mean(n, s, bad))
-    own = {}
-    for lang in set(langs):
-        at = np.array([x == lang for x in langs])
-        if (at & ~bad).sum() >= LEAST:
-            mean = _mean(n[at], s[at], bad[at])
-            own[lang] = _choose(n[at], s[at], bad[at], mean) if (at & bad).sum() >= LEAST else (mean, others[1])
+    scored = storage.table(sample.where("fold = 1").select("toxic", "lang", "text").mapInArrow(work, "toxic int, lang string, n long, s double"), "scored")
+    scored = scored.select(F.lit(False).alias("whole"), "lang", "n", "s", "toxic").unionAll(scored.select(F.lit(True), F.lit(None).cast("string"), "n", "s", "toxic"))
+    of = {(r["whole"], r["lang"]): r for r in _thresholds(scored).collect()}  # a row a language
+    chosen = lambda r: THRESHOLD if r["threshold"] is None else r["threshold"]
+    whole = of.get((True, None))
+    others = (whole["mean"], chosen(whole)) if whole else (0.0, THRESHOLD)
+    own = {lang: (r["mean"], chosen(r) if r["ts"] >= LEAST else others[1]) for (w, lang), r in of.items() if not w and r["os"] >= LEAST}
     return folder, own, others
 
 
-def _mean(n, s, bad) -> float:
-    return round(float(s[~bad].sum() / max(1, n[~bad].sum())), 6)
+def _thresholds(scored: DataFrame) -> DataFrame:
+    """(whole, lang, mean, os, ts, threshold): M, documents of each class, and the best of the thresholds midway between neighbouring scores, null if there is none; ties go to the largest."""
+    ordinary = lambda c: F.sum(F.when(F.col("toxic") == 0, F.col(c)))
+    count = lambda c: F.count(F.when(F.col("toxic") == c, 1))
+    mean = F.coalesce(F.round(ordinary("s") / F.greatest(F.lit(1), ordinary("n")), 6), F.lit(0.0))
+    means = storage.table(scored.groupBy("whole", "lang").agg(mean.alias("mean"), count(0).alias("os"), count(1).alias("ts")), "means")
+    of = means.select(F.col("whole").alias("w"), F.col("lang").alias("l"), "mean", "os", "ts")
+    each = scored.join(F.broadcast(of), (F.col("whole") == F.col("w")) & F.col("lang").eqNullSafe(F.col("l")))
+    llr = (F.round((F.col("s") - F.col("n") * F.col("mean")) / (F.col("n") + PAD), 6) + 0.0).alias("llr")
+    steps = each.select("w", "l", "os", "ts", "toxic", llr).groupBy("w", "l", "os", "ts", "llr").agg(count(1).alias("t"), count(0).alias("o"))
+    up = Window.partitionBy("w", "l").orderBy("llr")
+    down = Window.partitionBy("w", "l").orderBy(F.desc("llr")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("below", F.lag("llr").over(up)).withColumn("t", F.sum("t").over(down)).withColumn("o", F.sum("o").over(down))
+    gain = (F.col("t") / F.greatest(F.lit(1), "ts") - STRICT * F.col("o") / F.greatest(F.lit(1), "os")).alias("gain")
+    best = steps.where("ts > 0 and os > 0 and below is not null").groupBy("w", "l").agg(F.max(F.struct(gain, "llr", "below")).alias("b"))
+    best = best.select("w", "l", ((F.col("b.llr") + F.col("b.below")) / 2).alias("threshold"))
+    return means.join(best, (F.col("whole") == F.col("w")) & F.col("lang").eqNullSafe(F.col("l")), "left").select("whole", "lang", "mean", "os", "ts", "threshold")
 
 
 def _llr(n, s, mean):
     return np.round((s - n * mean) / (n + PAD), 6) + 0.0
 
 
-def _choose(n, s, bad, mean: float) -> tuple[float, float]:
-    """M, and the best of the thresholds midway between neighbouring scores; ties go to the largest."""
-    x, of = np.unique(_llr(n, s, mean), return_inverse=True)
-    t, o = (np.cumsum(np.bincount(of, k, len(x))[::-1])[::-1] for k in (bad, ~bad))
-    if len(x) < 2 or not t[0] or not o[0]:
-        return mean, THRESHOLD
-    gain = (t / t[0] - STRICT * o / o[0])[1:]
-    best = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    return mean, float((x[best] + x[best + 1]) / 2)
-
-
 def _judge(fitted, texts, langs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, score and verdict of each row."""
     folder, own, others = fitted

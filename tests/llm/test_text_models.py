@@ -130,6 +130,16 @@ def test_very_unequal_classes(spark, labels):
         assert sum(r["toxic"] for r in got.collect() if r["doc_id"] % 2 == 0 and r["doc_id"] >= 150) <= 2
 
 
+def test_all_labelled_documents_are_used(spark, labels):
+    rng = random.Random(22)
+    bad = lambda i: " ".join(rng.choice(["scum", "moron", "rain", "hill"]) for _ in range(8)) if i % 90 == 0 else sentence(rng, 8)
+    docs = spark.createDataFrame([row(i, bad(i), rng.choice(["en", "de", None])) for i in range(5600)], SCHEMA)
+    lab = spark.createDataFrame([(i, 1, int(i % 90 == 0)) for i in range(5600)], labels.schema)
+    bound = f"<= {toxicity.SAMPLE}"
+    assert toxicity.ORACLE_SQL.count(bound) == 1
+    assert same_as_sql(toxicity.toxicity(docs, lab), toxicity.ORACLE_SQL.replace(bound, "<= 1000000"), documents=docs, labels=lab)
+
+
 def test_every_word_of_the_corpus_is_counted(spark, hard):
     want = Counter(text.word_hash(w) for r in hard.collect() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (r["text"] or "").lower()))
     assert {r["word"] % (1 << 64): r["n"] for r in toxicity.corpus_counts(hard).collect()} == want
