@@ -20,7 +20,8 @@ it, the threshold that of each language with as many of both classes; other lang
 
 All labelled documents that have a text are used: those whose md5 of the doc_id begins with 0 to 7 train the models, the others fit M and
 the thresholds, and every count is divided by its class's total. (The SQL takes the first SAMPLE of each class and half; the rows are
-the same where there are no more.) The finished model lies in the shared folder as sorted hash arrays, from which each worker reads it. A
+the same where there are no more.) Neither texts nor sequences of words are kept on disk: a row is known by the hash of doc_id, lang and
+text, and what is shuffled of the sequences is what a task has distinct, packed, by the hash of the last two words. The finished model lies in the shared folder as sorted hash arrays, from which each worker reads it. A
 word whose counts tell nothing apart, and that ends no pair that does, isn't in it: it leaves the backoff masses, as a new word does.
 
 Defined results: a null or empty text has no words, score 0 and isn't toxic; a label that is null or belongs to no document with a text is
@@ -48,6 +49,8 @@ STRICT = 3
 LEAST = 10
 THRESHOLD = 0.05
 _BLOCK = 1 << 19
+#: Words of which a task ships what is distinct at once; bytes of the texts that train, for each part that is counted by itself.
+SHIPPED, PART_BYTES = 1 << 20, 8 << 20
 _WORDS, _CONTEXTS, _PAIRS, _MASS = range(4)
 
 
@@ -55,64 +58,147 @@ def _language(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, fold, text, lang) of every labelled document; fold 0 trains, fold 1 fits the threshold."""
-    t = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    t = t.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi").withColumn("md5", F.md5(F.col("doc_id").cast("string")))
-    t = t.select(F.col("doc_id").alias("picked"), "toxic", (F.substring("md5", 1, 1) >= "8").cast("int").alias("fold"))
-    picks = storage.table(t, "labelled")
-    d = storage.sieve(_language(docs).where("text is not null"), "doc_id", picks, "picked").join(picks, F.col("doc_id") == F.col("picked"))
-    one = d.groupBy("picked", "toxic", "fold").agg(F.min(F.struct(F.md5("text"), "text", "lang")).alias("d"))
-    return storage.table(one.select("toxic", "fold", "d.text", "d.lang"), "labelled-texts")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, key) of the rows with both a doc_id and a text; key is the hash of all three."""
+    return _language(docs).where("doc_id is not null and text is not null").withColumn("key", F.xxhash64("doc_id", "lang", "text"))
 
 
-def _sequences(sample: DataFrame) -> DataFrame:
-    """(toxic, u, v, w): the distinct hashes of words that follow one another in each class; u is null at a document's begin."""
+def _picks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, toxic, fold, lang, size) of every labelled document, size being its text's bytes; fold 0 trains, fold 1 fits the threshold.
 
-    def work(batches):
+    Only hashes are shuffled: who needs the texts reads the documents again and knows the rows by their keys.
+    """
+    t = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    fold = (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) >= "8").cast("int").alias("fold")
+    of = storage.table(t.select(F.col("doc_id").alias("picked"), "toxic", fold), "labelled")
+    d = storage.sieve(_keyed(docs), "doc_id", of, "picked").select("doc_id", F.unhex(F.md5("text")).alias("md5"), "lang", "key", F.octet_length("text").alias("size"))
+    one = d.groupBy("doc_id").agg(F.min(F.struct("md5", "lang", "key", "size")).alias("d")).join(of, F.col("doc_id") == F.col("picked"))
+    return storage.table(one.select("d.key", "toxic", "fold", "d.lang", "d.size"), "labelled-rows")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _distinct(seen: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(words, v, w, pair, u, kind): the distinct (words, u, v, w, kind) of the list, whose u, v and w are places in sorted words.
+
+    v and w are those of each distinct pair, in order; pair, u and kind those of each distinct row, in the order of pairs.
+    """
+    words, place = np.unique(np.concatenate([x[0] for x in seen]), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum([len(x[0]) for x in seen])]).astype(np.int64)
+    u, v, w = (np.concatenate([place[x[i] + at] for x, at in zip(seen, first)]).astype(np.int64) for i in (1, 2, 3))
+    kind = np.concatenate([x[4] for x in seen]).astype(text.U64)
+    bits = max(1, int(len(words) - 1).bit_length())
+    pairs, pair = np.unique(v << 32 | w, return_inverse=True)
+    row = np.unique(pair.astype(text.U64) << text.U64(bits + 2) | u.astype(text.U64) << text.U64(2) | kind)
+    mask = text.U64((1 << bits) - 1)
+    return words, pairs >> 32, pairs & 0xFFFFFFFF, (row >> text.U64(bits + 2)).astype(np.int64), (row >> text.U64(2) & mask).astype(np.int64), (row & text.U64(3)).astype(np.uint8)
+
+
+def _shipped(seen: list[tuple], bits: int) -> pa.RecordBatch:
+    """The distinct rows of the list, those of each part (by the hash of v and w) in a row: sorted words, and places in them, byte by byte."""
+    words, v, w, pair, u, kind = _distinct(seen)
+    part = (text.pair_hash(words[v], words[w]) >> text.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
+    by_pair, by_row = np.argsort(part, kind="stable"), np.argsort(part[pair], kind="stable")
+    pair_cuts, row_cuts = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=1 << bits))]) for x in (part, part[pair]))
+    count, out = np.bincount(pair, minlength=len(v)), []
+    for k in np.flatnonzero(np.diff(pair_cuts)):
+        p, r = by_pair[pair_cuts[k] : pair_cuts[k + 1]], by_row[row_cuts[k] : row_cuts[k + 1]]
+        used = np.zeros(len(words), bool)
+        used[v[p]] = used[w[p]] = used[u[r]] = True
+        rank = np.cumsum(used) - 1
+        body = b"".join((_planes(np.diff(rank[v[p]], prepend=0)), _planes(rank[w[p]]), _planes(count[p]), _planes(rank[u[r]]), kind[r].tobytes()))
+        out.append((int(k), len(p), len(r), words[used].tobytes(), pa.compress(body, "zstd", asbytes=True)))
+    return pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "pairs", "rows", "words", "body"])
+
+
+def _received(pairs: int, rows: int, words: bytes, body: bytes) -> tuple:
+    """A row of _shipped() as _distinct() takes it."""
+    raw = np.frombuffer(pa.decompress(body, 12 * pairs + 5 * rows, "zstd", asbytes=True), np.uint8)
+    cuts = np.cumsum([0, 4 * pairs, 4 * pairs, 4 * pairs, 4 * rows])
+    v, w, count, u = (np.ascontiguousarray(raw[i:j].reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for i, j in zip(cuts, cuts[1:]))
+    return np.frombuffer(words, text.U64), u, np.repeat(np.cumsum(v), count), np.repeat(w, count), raw[cuts[-1] :]
+
+
+def _pairs(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """(v, w, t, o, in_t, in_o) of every pair of words: distinct words before it in the toxic and the ordinary documents that train; whether they hold it.
+
+    A task ships what is distinct in about SHIPPED of its words; each of the parts that it goes to is counted by itself.
+    """
+    train = picks.where("fold = 0")
+    folder, spark = storage.new_folder(docs.sparkSession, "trains"), docs.sparkSession
+    train.select("key", "toxic").write.parquet(folder)
+    size = train.agg(F.sum("size")).first()[0] or 0
+    bits = int(size // PART_BYTES).bit_length()
+
+    def ship(batches):
         text.trim()
+        seen = []
         for batch in batches:
-            toxic = batch.column(0).to_numpy()
-            for first, block in text.slices(text.strings(batch.column(1)), _BLOCK):
+            known = storage.held(folder, lambda t: text.HashArrays(t["key"].to_numpy().view(text.U64), toxic=t["toxic"].to_numpy().astype(np.uint8)))
+            place = known.find(batch.column(0).to_numpy().view(text.U64))
+            rows = np.flatnonzero(place >= 0)
+            toxic = known.values["toxic"][place[rows]]
+            for first, block in text.slices(text.strings(batch.column(1).take(pa.array(rows))), _BLOCK):
                 h, at = text.words(block)
                 if len(h) < 2:
                     continue
-                h, begin = h.view(np.int64), np.zeros(len(h) + 1, bool)
+                begin = np.zeros(len(h) + 1, bool)
                 begin[at] = True
-                begin = begin[: len(h)]
-                i = np.flatnonzero(~begin)
+                i = np.flatnonzero(~begin[: len(h)])
                 alone = begin[i - 1]
-                u = pa.array(h[np.maximum(i - 2, 0)], mask=alone)
-                which = np.repeat(toxic[first : first + len(block)], np.diff(at))[i]
-                rows = pa.table([pa.array(which, pa.int32()), u, pa.array(h[i - 1]), pa.array(h[i])], names=["toxic", "u", "v", "w"])
-                yield from rows.group_by(rows.column_names).aggregate([]).combine_chunks().to_batches()
-
-    return sample.where("fold = 0").select("toxic", "text").mapInArrow(work, "toxic int, u long, v long, w long").distinct()
-
-
-def _discounted(level: DataFrame, *keys: str) -> DataFrame:
-    """level (toxic, *keys, c) with d, the modified Kneser-Ney discount of c in its class, or c itself for an expression that doesn't tell the classes apart."""
-    n = [F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))  # null where no expression is that rare: conditions may be evaluated late
-    one = lambda i, other: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), f"n{i}")).otherwise(F.lit(other))))
-    d = level.groupBy("toxic").agg(*n).select("toxic", one(1, 0.5).alias("d1"), one(2, 1.0).alias("d2"), one(3, 1.5).alias("d3"))
-    toxic = F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)
-    share = level.agg((F.sum(toxic) / F.sum("c")).alias("q"))
-    of = Window.partitionBy(*keys)
-    d = level.withColumn("both", F.sum("c").over(of)).withColumn("t", F.sum(toxic).over(of)).join(F.broadcast(d), "toxic").crossJoin(F.broadcast(share))
-    q, both = F.col("q"), F.col("both")
-    unsure = F.abs(F.col("t") - q * both) < SURE * F.sqrt(q * (1 - q) * both)
-    return d.select(*level.columns, F.when(unsure, F.col("c").cast("double")).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
-
-
-def _by_class(t: DataFrame, value, other: float, *keys: str) -> DataFrame:
-    """keys with the value of each class beside them; `other` where a class has none."""
-    one = lambda c: F.coalesce(F.max(F.when(F.col("toxic") == c, value)), F.lit(other))
-    return t.groupBy(*keys).agg(one(1).alias("t"), one(0).alias("o"))
-
-
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): occurrences of every word, by its hash, in all documents; a task adds up its own first."""
+                kind = np.repeat(toxic[first : first + len(block)], np.diff(at))[i] | alone.astype(np.uint8) << 1
+                seen.append((h, np.where(alone, i, i - 2), i - 1, i, kind))
+                if sum(len(x[0]) for x in seen) > SHIPPED:
+                    yield _shipped(seen, bits)
+                    seen = []
+        if seen:
+            yield _shipped(seen, bits)
+
+    def count(batches):
+        text.trim()
+        part, seen = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if row[0] != part and seen:
+                    yield from counted(seen)
+                    seen = []
+                part = row[0]
+                seen.append(_received(*row[1:]))
+        if seen:
+            yield from counted(seen)
+
+    def counted(seen):
+        words, v, w, pair, _, kind = _distinct(seen)
+        n = [np.bincount(pair[kind == k], minlength=len(v)) for k in range(4)]
+        columns = [words[v].view(np.int64), words[w].view(np.int64), n[1].astype(np.int32), n[0].astype(np.int32), (n[1] + n[3] > 0).astype(np.int8), (n[0] + n[2] > 0).astype(np.int8)]
+        yield pa.record_batch([pa.array(x) for x in columns], names=["v", "w", "t", "o", "in_t", "in_o"])
+
+    texts = storage.sieve(_keyed(docs), "key", train, "key").select("key", "text")
+    parts = texts.mapInArrow(ship, "part int, pairs int, rows int, words binary, body binary").repartition(1 << bits, "part").sortWithinPartitions("part")
+    return storage.table(parts.mapInArrow(count, "v long, w long, t int, o int, in_t tinyint, in_o tinyint"), "pairs")
+
+
+def _discounted(level: DataFrame) -> tuple[DataFrame, dict]:
+    """level (t, o: counts in the toxic and the ordinary documents) with dt and do, their modified Kneser-Ney discounts, or the counts themselves for an expression that doesn't tell the classes apart; sums of t and o."""
+    n = level.agg(*(F.count(F.when(F.col(x) == i, 1)).alias(f"{x}{i}") for x in "to" for i in (1, 2, 3, 4)), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "to")).first().asDict()
+    share = n["t"] / max(1, n["t"] + n["o"])
+    both = F.col("t") + F.col("o")
+    unsure = F.abs(F.col("t") - F.lit(share) * both) < SURE * F.sqrt(F.lit(share) * (1 - F.lit(share)) * both)
+
+    def discount(x: str):
+        c = [0, *(n[f"{x}{i}"] for i in (1, 2, 3, 4))]
+        rare = c[1] + 2 * c[2]
+        one = lambda i, other: other if not (c[i] and c[i + 1]) else float(i) if not rare else max(0.0, min(float(i), i - (i + 1) * (c[1] / rare) * c[i + 1] / c[i]))
+        d = F.when(F.col(x) == 1, one(1, 0.5)).when(F.col(x) == 2, one(2, 1.0)).otherwise(one(3, 1.5))
+        return F.when(F.col(x) == 0, 0.0).when(unsure, F.col(x).cast("double")).otherwise(d)
+
+    return level.withColumns({"dt": discount("t"), "do": discount("o")}), n
+
+
+def corpus_counts(docs: DataFrame, only: str | None = None) -> DataFrame:
+    """(word, n): occurrences of every word, by its hash, in all documents; a task adds up its own first. With a folder of words (w), theirs, and those of all others together beside null."""
 
     def work(batches):
         text.trim()
@@ -124,6 +210,10 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                     held = [_added(held)]
         if held:
             key, n = _added(held)
+            if only:
+                own = storage.held(only, lambda t: text.HashArrays(t["w"].to_numpy().view(text.U64))).find(key.view(text.U64)) >= 0
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([n[~own].sum()], pa.int64())], names=["word", "n"])
+                key, n = key[own], n[own]
             yield pa.record_batch([pa.array(key), pa.array(n)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -171,27 +261,32 @@ def _pair_keys(batches):
         yield pa.record_batch([pa.array(np.full(len(key), _PAIRS, np.int32)), pa.array(key.view(np.int64)), t, o], names=["kind", "key", "t", "o"])
 
 
-def train(docs: DataFrame, sample: DataFrame) -> str:
+def train(docs: DataFrame, picks: DataFrame) -> str:
     """The folder that holds the class models' hash arrays."""
-    seq = storage.table(_sequences(sample), "sequences")
-    pairs = storage.table(_discounted(storage.table(seq.where("u is not null").groupBy("toxic", "v", "w").agg(F.count("*").alias("c")), "pairs"), "v", "w"), "pairs")
-    single = storage.table(_discounted(storage.table(seq.groupBy("toxic", "w").agg(F.countDistinct("v").alias("c")), "words"), "w"), "words")
-    mass = {r["toxic"]: (r["total"], r["d"] / r["total"]) for r in single.groupBy("toxic").agg(F.sum("c").alias("total"), F.sum("d").alias("d")).collect()}  # a row a class
+    raw = _pairs(docs, picks)
+    pairs, _ = _discounted(raw)
+    single, n = _discounted(storage.table(raw.groupBy("w").agg(F.sum("in_t").alias("t"), F.sum("in_o").alias("o")), "words"))
     folder, spark = storage.new_folder(docs.sparkSession, "toxicity"), docs.sparkSession
-    rows = spark.createDataFrame([(_MASS, 0, mass[1][1], mass[0][1])] if len(mass) == 2 else [], "kind int, key long, t double, o double")
-    if len(mass) == 2:
-        counts = storage.cut(corpus_counts(docs))
+    left = single.agg(F.sum("dt").alias("t"), F.sum("do").alias("o")).first()
+    mass = (left["t"] / n["t"], left["o"] / n["o"]) if n["t"] and n["o"] else None
+    rows = spark.createDataFrame([(_MASS, 0, *mass)] if mass else [], "kind int, key long, t double, o double")
+    if mass:
+        kept = storage.table(pairs.where("t > dt or o > do").drop("in_t", "in_o"), "kept")
+        ends = kept.select(F.col("w").alias("end")).distinct()
+        own = single.join(ends, F.col("w") == F.col("end"), "left").where("t > dt or o > do or end is not null")
+        known = storage.new_folder(spark, "known")
+        own.select("w", ((F.col("t") - F.col("dt")) / n["t"]).alias("t"), ((F.col("o") - F.col("do")) / n["o"]).alias("o")).write.parquet(known)
+        counts = storage.table(corpus_counts(docs, known), "counts")
         total = counts.agg(F.sum("n")).first()[0]
-        x = F.when(F.col("toxic") == 1, (F.col("c") - F.col("d")) / mass[1][0]).otherwise((F.col("c") - F.col("d")) / mass[0][0])
         shared = F.coalesce(F.col("n"), F.lit(0)) / total
-        ends = pairs.where("c > d").select(F.col("w").alias("end")).distinct()
-        own = _by_class(single, x, 0.0, "w").join(ends, F.col("w") == F.col("end"), "left").where("t > 0 or o > 0 or end is not null")
-        words = own.join(counts, F.col("w") == F.col("word"), "left")
-        words = words.select(F.lit(_WORDS).alias("kind"), F.col("w").alias("key"), (F.col("t") + mass[1][1] * shared).alias("t"), (F.col("o") + mass[0][1] * shared).alias("o"))
-        totals = storage.cut(pairs.groupBy(F.col("toxic").alias("tt"), F.col("v").alias("tv")).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("b")))
-        contexts = _by_class(totals.where("b < 1").withColumnRenamed("tt", "toxic"), F.col("b"), 1.0, "tv").select(F.lit(_CONTEXTS).alias("kind"), F.col("tv").alias("key"), "t", "o")
-        part = pairs.where("c > d").join(totals, (F.col("toxic") == F.col("tt")) & (F.col("v") == F.col("tv")))
-        both = _by_class(part, (F.col("c") - F.col("d")) / F.col("total"), 0.0, "v", "w").mapInArrow(_pair_keys, rows.schema)
+        words = spark.read.schema("w long, t double, o double").parquet(known).join(counts, F.col("w") == F.col("word"), "left")
+        words = words.select(F.lit(_WORDS).alias("kind"), F.col("w").alias("key"), (F.col("t") + mass[0] * shared).alias("t"), (F.col("o") + mass[1] * shared).alias("o"))
+        sums = storage.sieve(pairs, "v", kept.select("v").distinct(), "v").groupBy(F.col("v").alias("tv")).agg(*(F.sum(x).alias(f"s{x}") for x in ("t", "o", "dt", "do")))
+        share = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of))
+        totals = storage.table(sums.select("tv", "st", "so", F.coalesce(share("sdt", "st"), F.lit(1.0)).alias("bt"), F.coalesce(share("sdo", "so"), F.lit(1.0)).alias("bo")).where("bt < 1 or bo < 1"), "contexts")
+        contexts = totals.select(F.lit(_CONTEXTS).alias("kind"), F.col("tv").alias("key"), F.col("bt").alias("t"), F.col("bo").alias("o"))
+        kept = kept.select("v", "w", (F.col("t") - F.col("dt")).alias("xt"), (F.col("o") - F.col("do")).alias("xo")).join(totals, F.col("v") == F.col("tv"))
+        both = kept.select("v", "w", *(F.coalesce(share(f"x{x}", f"s{x}"), F.lit(0.0)).alias(x) for x in "to")).mapInArrow(_pair_keys, rows.schema)
         rows = rows.unionAll(words).unionAll(contexts).unionAll(both)
     rows.coalesce(8).write.parquet(folder)
     return folder
@@ -206,16 +301,18 @@ def _scores(folder: str, texts) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame):
     """(the model's folder, M and threshold of each language that has its own, those of the others)."""
-    sample = _sample(docs, labels)
-    folder = train(docs, sample)
+    picks = _picks(docs, labels)
+    folder = train(docs, picks)
 
     def work(batches):
         text.trim()
         for batch in batches:
-            n, s = _scores(folder, batch.column(2))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s.astype(float))], names=["toxic", "lang", "n", "s"])
+            n, s = _scores(folder, batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(float))], names=["key", "n", "s"])
 
-    scored = storage.table(sample.where("fold = 1").select("toxic", "lang", "text").mapInArrow(work, "toxic int, lang string, n long, s double"), "scored")
+    fits = picks.where("fold = 1")
+    rows = storage.sieve(_keyed(docs), "key", fits, "key").select("key", "text").mapInArrow(work, "key long, n long, s double")
+    scored = storage.table(fits.join(rows.dropDuplicates(["key"]), "key").select("toxic", "lang", "n", "s"), "scored")
     scored = scored.select(F.lit(False).alias("whole"), "lang", "n", "s", "toxic").unionAll(scored.select(F.lit(True), F.lit(None).cast("string"), "n", "s", "toxic"))
     of = {(r["whole"], r["lang"]): r for r in _thresholds(scored).collect()}  # a row a language
     chosen = lambda r: THRESHOLD if r["threshold"] is None else r["threshold"]

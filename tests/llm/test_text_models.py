@@ -5,12 +5,13 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strata.llm import nbsvm, quality_rules, text, toxicity
+from strata.llm import nbsvm, quality_rules, storage, text, toxicity
 from tests.llm.conftest import SCHEMA, row, same_as_sql, sentence
 
 
@@ -140,6 +141,35 @@ def test_all_labelled_documents_are_used(spark, labels):
     assert same_as_sql(toxicity.toxicity(docs, lab), toxicity.ORACLE_SQL.replace(bound, "<= 1000000"), documents=docs, labels=lab)
 
 
+def test_pairs_are_those_of_dictionaries_in_any_number_of_parts(spark, monkeypatch):
+    rng = random.Random(23)
+    docs = spark.createDataFrame([row(i, sentence(rng, rng.randint(0, 40))) for i in range(60)] + [row(3, "Stone, stone, stone"), row(60, "one"), row(61, None), row(None, "none of it")], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 62, 2)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    toxic, before, held = {r["doc_id"]: r["toxic"] for r in labels.collect()}, defaultdict(set), defaultdict(set)
+    for d in sorted(x for x in toxic if md5(x)[0] < "8"):
+        w = re.findall("[a-z]+", min(((md5(r["text"]), r["text"]) for r in docs.where(F.col("doc_id") == d).collect() if r["text"] is not None), default=("", ""))[1].lower())
+        for i in range(1, len(w)):
+            held[w[i - 1], w[i]].add(toxic[d])
+            before[w[i - 1], w[i]] |= {(toxic[d], w[i - 2])} if i > 1 else set()
+    h = lambda x: int(np.array([text.word_hash(x)], np.uint64).view(np.int64)[0])
+    want = {(h(v), h(w), *(sum(c == k for c, _ in before[v, w]) for k in (1, 0)), *(int(k in of) for k in (1, 0))) for (v, w), of in held.items()}
+    for size in (8 << 20, 64):
+        monkeypatch.setattr(toxicity, "PART_BYTES", size)
+        got = [tuple(r) for r in toxicity._pairs(docs, toxicity._picks(docs, labels)).collect()]
+        assert len(got) == len(want) > 100 and {*got} == want
+
+
+def test_toxicity_keeps_no_texts_and_no_word_sequences_on_disk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).cast("int").alias("toxic"))
+    folder = Path(storage.shared_dir(spark).removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = held()
+    toxicity.fit(docs, labels)
+    assert held() - before < 0.8 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_every_word_of_the_corpus_is_counted(spark, hard):
     want = Counter(text.word_hash(w) for r in hard.collect() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (r["text"] or "").lower()))
     assert {r["word"] % (1 << 64): r["n"] for r in toxicity.corpus_counts(hard).collect()} == want
