@@ -149,43 +149,45 @@ def count_ngrams(docs: DataFrame, n: int = ORDER) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(work, _COUNTS).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language from its counts of counts; where they say nothing, 0.5, 1 and 1.5."""
+def _discounts(levels: dict[int, DataFrame]) -> DataFrame:
+    """(lang_, m, v, d1, d2, d3): n-grams of each order and language, their modified Kneser-Ney discounts from the counts of counts; where these say nothing, 0.5, 1 and 1.5."""
     n = [F.count(F.when(F.col("c") == i, 1)).cast("double") for i in (1, 2, 3, 4)]
-    t = level.groupBy("lang").agg(*(x.alias(f"n{i}") for i, x in enumerate(n, 1)))
+    every = reduce(DataFrame.unionAll, (level.select("lang", F.lit(m).alias("m"), "c") for m, level in levels.items()))
+    t = every.groupBy("lang", "m").agg(F.count("*").alias("v"), *(x.alias(f"n{i}") for i, x in enumerate(n, 1)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     safe = lambda i, other: F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit(other))
     bound = lambda i, other: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(safe(i, other), F.lit(other))))
-    return t.select(F.col("lang").alias("lang_"), bound(1, 0.5).alias("d1"), bound(2, 1.0).alias("d2"), bound(3, 1.5).alias("d3"))
+    return storage.table(t.select(F.col("lang").alias("lang_"), "m", "v", bound(1, 0.5).alias("d1"), bound(2, 1.0).alias("d2"), bound(3, 1.5).alias("d3")), "discounts")
 
 
 def model_table(counts: DataFrame, n: int = ORDER) -> DataFrame:
     """(lang, gram, m, logp, logb) of all n-grams of 0 to n characters: log-probability of the last given those before, and log of the mass that gram, as a context, leaves to its backoff.
 
     The lower orders count distinct left neighbours. The empty gram has the uniform distribution that the single characters back off to.
+    Each step is a table of its own, so that the driver has no plan of many joins to hold and to work out again as its parts end.
     """
     levels = {n: counts.select("lang", "gram", "c")}
     for m in range(n - 1, 0, -1):
-        levels[m] = storage.cut(levels[m + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")))
-    vocabulary = levels[1].groupBy("lang").agg(F.count("*").alias("v"))
-    lower = vocabulary.select("lang", F.lit("").alias("gram"), (1 / F.col("v")).alias("p"))
-    out = []
+        levels[m] = storage.table(levels[m + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), "level")
+    discounts = _discounts(levels)
+    lower = discounts.where("m = 1").select(F.col("lang_").alias("lang"), F.lit("").alias("gram"), (1 / F.col("v")).alias("p"))
+    none = F.lit(None).cast("double")
+    rows = []
     for m in range(1, n + 1):
-        d = levels[m].join(F.broadcast(_discounts(levels[m])), F.col("lang").eqNullSafe(F.col("lang_"))).drop("lang_")
+        d = levels[m].join(F.broadcast(discounts.where(F.col("m") == m).drop("m", "v")), F.col("lang").eqNullSafe(F.col("lang_"))).drop("lang_")
         d = d.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = F.substring("gram", 1, m - 1) if m > 1 else F.lit("")
-        d = d.withColumn("ctx", context).withColumn("suffix", F.substring("gram", 2, m) if m > 1 else F.lit(""))
+        d = d.select("lang", "gram", "c", "d", context.alias("ctx"), (F.substring("gram", 2, m) if m > 1 else F.lit("")).alias("suffix"))
         totals = d.groupBy(F.col("lang").alias("tl"), F.col("ctx").alias("tc")).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        totals = totals.select("tl", "tc", "total", (F.col("left") / F.col("total")).alias("b"))
+        totals = storage.table(totals.select("tl", "tc", "total", (F.col("left") / F.col("total")).alias("b")), "contexts")
         p = d.join(totals, F.col("lang").eqNullSafe(F.col("tl")) & (F.col("ctx") == F.col("tc")))
         low = lower.select(F.col("lang").alias("ll"), F.col("gram").alias("lg"), F.col("p").alias("lp"))
         p = p.join(low, F.col("lang").eqNullSafe(F.col("ll")) & (F.col("suffix") == F.col("lg")))
-        p = p.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("b") * F.col("lp")).alias("p"))
-        out.append((lower, totals, m - 1))
-        lower = storage.cut(p)
-    rows = [low.join(tot, low["lang"].eqNullSafe(tot["tl"]) & (low["gram"] == tot["tc"]), "left").select("lang", "gram", F.lit(m).alias("m"), F.log("p").alias("logp"), F.log("b").alias("logb")) for low, tot, m in out]
-    rows.append(lower.select("lang", "gram", F.lit(n).alias("m"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
-    return reduce(DataFrame.unionAll, rows)
+        rows.append(lower.select("lang", "gram", F.lit(m - 1).alias("m"), F.log("p").alias("logp"), none.alias("logb")))
+        rows.append(totals.select("tl", "tc", F.lit(m - 1), none, F.log("b")))
+        lower = storage.table(p.select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("b") * F.col("lp")).alias("p")), "probabilities")
+    shorter = reduce(DataFrame.unionAll, rows).groupBy("lang", "gram", "m").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb")).where("logp is not null")
+    return shorter.unionAll(lower.select("lang", "gram", F.lit(n), F.log("p"), none))
 
 
 def _fold(points: list[np.ndarray], seed: int) -> np.ndarray:
@@ -277,7 +279,7 @@ class Scores:
 
     def __init__(self, docs: DataFrame, n: int = ORDER, limit: int | None = None):
         spark, self.n = docs.sparkSession, n
-        self.table = storage.cut(model_table(storage.cut(count_ngrams(docs, n)), n))
+        self.table = storage.table(model_table(storage.table(count_ngrams(docs, n), "counts"), n), "model")
         size, limit = self.table.count() * 24, storage.BROADCAST_BYTES if limit is None else limit
         self.bits = 0 if size <= limit else max(1, int(np.ceil(np.log2(size / limit)))) if limit else 2
         self.shared = storage.new_folder(spark, "ngrams")
@@ -363,7 +365,7 @@ def score(docs: DataFrame, scores: Scores) -> DataFrame:
 def bands(scored: DataFrame) -> DataFrame:
     """(lang, median, spread, sigma) over all documents of each language that have an n-gram."""
     x = scored.where("n > 0").withColumn("x", F.round(-F.col("s") / F.col("n"), 4))
-    bins = storage.cut(x.groupBy("lang", "x").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
+    bins = storage.table(x.groupBy("lang", "x").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "bins")
     mean = F.sum("s") / F.sum("n")
     centre = bins.groupBy("lang").agg(F.expr("percentile(x, 0.5, k)").alias("median"), F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / F.sum("n") - mean * mean)).alias("sigma")).withColumnRenamed("lang", "cl")
     off = bins.join(F.broadcast(centre), F.col("lang").eqNullSafe(F.col("cl"))).withColumn("off", F.round(F.abs(F.col("x") - F.col("median")), 5))
@@ -373,7 +375,7 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, n: int = ORDER, low: float = LOW, high: float = HIGH, limit: int | None = None) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, lower, upper, keep) of every row."""
-    scored = storage.cut(score(docs, Scores(docs, n, limit)))
+    scored = storage.table(score(docs, Scores(docs, n, limit)), "scored")
     b = bands(scored).withColumnRenamed("lang", "bl")
     half = F.col("spread") + F.col("sigma") / F.sqrt("n")
     x = -F.col("s") / F.col("n")

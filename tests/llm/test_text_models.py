@@ -46,6 +46,14 @@ def test_perplexity_is_that_of_dictionaries(spark):
             assert got[i]["perplexity"] is None if not lp else abs(got[i]["perplexity"] - math.exp(-sum(lp) / len(lp))) < 1e-5
 
 
+def test_no_step_of_the_perplexity_model_is_a_large_plan(hard, monkeypatch):
+    joins, table = [], storage.table
+    plan = lambda df: len(re.findall(r"\bJoin\b", df._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(storage, "table", lambda df, what: joins.append(plan(df)) or table(df, what))
+    last = quality_rules.model_table(quality_rules.count_ngrams(hard))
+    assert max([*joins, plan(last)]) <= 3 and plan(last) == 0
+
+
 def test_bands_reject_what_is_unlike_its_language(spark):
     rng = random.Random(3)
     rows = [row(i, sentence(rng), "en") for i in range(60)] + [row(100, "".join(rng.choice("qxzjvkw#%&") for _ in range(400)))]
