@@ -94,6 +94,37 @@ def test_shuffled_tasks_and_ids_that_are_strings(spark, monkeypatch):
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
 
 
+def test_a_passage_in_many_documents_sends_none_to_every_other(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = " ".join(f"p{i}" for i in range(45))
+    texts = [f"{passage} " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(32)) for _ in range(300)] + near_copies(rng, 20, 0.03)
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    counts, plain = {}, storage.table
+
+    def table(df, what):
+        out = plain(df, what)
+        counts[what] = out.count()
+        return out
+
+    monkeypatch.setattr(storage, "table", table)
+    got = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+    assert got == brute_pairs(docs.collect()) and len(got) > 100
+    assert max(counts.values()) <= (jaccard_join.BANDS + 1) * len(texts), counts
+
+
+def test_prefixes_leave_out_no_pair():
+    rng = np.random.default_rng(32)
+    for block in range(30):
+        sets = [np.unique(np.concatenate([rng.choice(40, rng.integers(1, 25)), 40 + rng.choice(12, rng.integers(0, 12), replace=False)])) for _ in range(70)]
+        union, places = np.unique(np.concatenate(sets[:60]), return_inverse=True)
+        index = jaccard_join._Index(places, np.array([len(s) for s in sets[:60]]), len(union), 0.5)
+        for s in sets:
+            at = np.flatnonzero(np.isin(union, s))
+            seen = index.sharing(at, len(s), 0.5, 1 << 30)
+            assert all(seen[j] for j in range(60) if 2 * len(np.intersect1d(s, sets[j])) >= len(np.union1d(s, sets[j])))
+            assert index.sharing(at, len(s), 0.5, -1) is None
+
+
 def test_the_sieve_lets_every_key_through(spark):
     rows = spark.createDataFrame([(i, "x") for i in range(3000)] + [(None, "x")], "doc_id long, text string")
     keys = spark.createDataFrame([(i,) for i in range(0, 3000, 30)], "k long")
