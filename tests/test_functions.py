@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strata import shared
 from strata.errors import BadArchive, NotAnArchive, UnknownCodec, UnsafePath
 from strata.functions import checksums, codecs, crypto, filters
 from strata.functions.bits import read_varint, write_varint
@@ -20,6 +21,24 @@ from strata.sources import container
 DATA = [b"", b"a", bytes(5000), os.urandom(5000), bytes(i * 3 % 256 for i in range(40000)), np.arange(20000, dtype="<u2").tobytes(), b"\xe8\1\2\3\0" * 9000, b"text and more text. " * 3000] + [bytes(n) for n in (63, 64, 65, 511, 512, 2047, 2048, 2049, 4095, 4096, 16384, 16385)]
 
 
+def test_the_library_encrypts_as_numpy_does(monkeypatch):
+    key = bytes(range(32))
+    assert crypto._LIBRARY is not None
+    for iv in (bytes(16), b"\xff" * 16, bytes(range(16)), b"\1" * 8 + b"\xff" * 8):
+        for data in (b"", b"a", os.urandom(16), os.urandom(70001)):
+            sealed = crypto.counter_mode(data, key, iv)
+            assert sealed == crypto.in_numpy(data, key, iv) and crypto.counter_mode(sealed, key, iv) == data
+    monkeypatch.setattr(crypto, "_LIBRARY", None)
+    assert crypto.counter_mode(b"abc", key, bytes(16)) == crypto.in_numpy(b"abc", key, bytes(16))
+
+
+def test_stretches_bound_what_is_held():
+    for sizes in ([], [5], [9, 1, 1, 1], [1] * 10, [0, 0, 30, 0, 2]):
+        got = list(shared.stretches(sizes, 4))
+        assert [i for a, b in got for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b == a + 1 or sum(sizes[a:b]) <= 4 for a, b in got)
+
+
 def test_known_answers():
     assert crc16(b"123456789") == 0x906E and zlib.crc32(b"123456789") == 0xCBF43926
     assert container.END_BLOCK == bytes.fromhex("9f160100")
