@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,23 @@ def test_references_are_made_one(spark):
     assert got == [(1, 0, 100, 15, 2), (1, 15, 300, 5, 1), (1, 30, 305, 5, 1), (2, 0, 200, 1, 1)]
 
 
+def test_pieces_of_long_texts_are_hashed_in_linear_time(spark):
+    import hashlib
+    import time
+
+    from strata.operators import chunking
+
+    texts = ["é" * 100 + "ab", None, "", "x" * 64, "plain " * 30, "日本語" * 50]
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = sorted((r["k"], r["pos"], r["length"], r["h1"], r["h2"]) for r in chunking.fixed_hashes(d, "k", "t", 64).collect())
+    half = lambda x, i: int.from_bytes(hashlib.sha256(x.encode()).digest()[i : i + 8], "little", signed=True)
+    assert got == sorted((k, p, len(t[p : p + 64]), half(t[p : p + 64], 0), half(t[p : p + 64], 8)) for k, t in enumerate(texts) for p in range(0, len(t or ""), 64))
+    long = spark.createDataFrame([(1, "été " * 1_000_000)], "k long, t string")
+    began = time.time()
+    assert chunking.fixed_hashes(long, "k", "t", 64).selectExpr("count(*)", "sum(length)").first()[:] == (62500, 4_000_000)
+    assert time.time() - began < 30
+
+
 def test_streams_are_deduplicated(spark, tmp_path):
     from strata.streaming.incremental import dedup_stream
 
