@@ -74,6 +74,22 @@ def test_extraction_gives_back_the_tree(spark, tree, tmp_path, options):
             archive.read_entries(spark, path, "wrong", FAST)
 
 
+def test_workers_hold_a_block_at_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    entries = manifest.from_table(spark.createDataFrame([(f"f{i:02}", "ab" * 3000 + str(rng.random())) for i in range(40)], "p string, t string"), F.col("p"), F.col("t"))
+    path = str(tmp_path / "b.stra")
+    archive.create_archive(entries, path, Options(("zlib",), dedup=False, max_block=8192))
+    reader = container._Reader(path, 1 << 30)
+    (partition,) = reader.partitions()
+    assert [b.num_rows for b in reader.read(partition)] == [1] * (len(container.headers(path)[1]))
+    frames, plain = [], type(entries).mapInArrow
+    monkeypatch.setattr(type(entries), "mapInArrow", lambda self, f, schema, *a: frames.append(f) or plain(self, f, schema, *a))
+    archive.read_payloads(spark, path)
+    blocks = [b for b in reader.read(partition) if b.column(0)[0].as_py() == container.DATA]
+    out = list(frames[-1]([pa.Table.from_batches(blocks).combine_chunks().to_batches()[0]]))
+    assert len(out) == len(blocks) > 20 and all(sum(len(x) for x in b.column(3).to_pylist()) <= 8192 for b in out)
+
+
 def test_a_password_is_never_dropped(spark, tree, tmp_path):
     for codecs in (("zlib",), ()):
         with pytest.raises(errors.WrongPassword):
